@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tidescope.llm.common import cut, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; many small stores must not each set space aside beforehand.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -44,8 +45,9 @@ def retain(spark: SparkSession, source: str, schema, state: str, files_per_trigg
     ``state`` holds the stream's checkpoint and what each micro-batch changed; a later call with the same folder
     goes on from there, reading new files alone.
     """
-    held = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    held = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     changed = f"{state}/changed"
 
     def store(batch: DataFrame, number: int) -> None:
@@ -63,7 +65,8 @@ def retain(spark: SparkSession, source: str, schema, state: str, files_per_trigg
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, held) if held else spark.conf.unset(PROVIDER)
+        for k, v in held.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     kinds = "digest string, retained struct<doc_id:bigint,locator:string>, group_size bigint, batch int"
     changes = spark.read.schema(kinds).parquet(changed) if _exists(spark, changed) else spark.createDataFrame([], kinds)
     # both only ever grow, so the largest is the last
