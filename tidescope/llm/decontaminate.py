@@ -108,7 +108,8 @@ def latent(table: DataFrame, terms: int, rank: int, rounds: int = 2, seed: int =
                 for ids, weights in zip(pdf["ids"], pdf["weights"], strict=True):
                     total[ids] += np.outer(weights, weights @ held.value[ids])
             full = np.flatnonzero(total.any(1))
-            yield pd.DataFrame({"term": full, "sums": list(total[full])})
+            if len(full):  # a task may have no rows
+                yield pd.DataFrame({"term": full, "sums": list(total[full])})
 
         parts = table.mapInPandas(run, "term long, sums array<double>")
         sums = parts.groupBy("term").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).collect()
