@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidescope.functions import rules, types
 from tidescope.functions.canonical import deterministic_uuid, row_json, row_version, signed_crc32, version_text
-from tidescope.operators import changelog, scopes, serve, writes
+from tidescope.operators import changelog, client, contract, registry, scopes, serve, writes
 from tidescope.sources import change_log, line_id, read, scope_of_customer, surrogate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,6 +377,66 @@ def push_classify(spark, sf):
     return writes.resolve(*mutations(spark, sf))
 
 
+for _op in ("insert", "update", "delete"):
+    _name = {"insert": "push_create"}.get(_op, f"push_{_op}")
+    QUERIES[_name] = lambda spark, sf, op=_op: push_classify(spark, sf).filter(F.col("op") == op)
+    ORACLE_SQL[_name] = f"SELECT * FROM ({ORACLE_SQL['push_classify']}) WHERE op = '{_op}'"
+
+
+@query(f"SELECT mutation_id, op FROM ({ORACLE_SQL['push_classify']})")
+def push_resolve_op(spark, sf):
+    return push_classify(spark, sf).select("mutation_id", "op")
+
+
+@query(f"""WITH {MUT} SELECT mutation_id, CASE k % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'upsert' END AS op,
+    CASE WHEN k % 5 = 0 THEN 'bad_base_version' WHEN k % 7 = 0 AND k % 4 <> 2 THEN 'no_client_version' WHEN k % 11 = 0 AND k % 7 <> 0 THEN 'bad_client_version' END AS violation FROM m""")
+def contract_mutations(spark, sf):
+    made, _, _ = mutations(spark, sf)
+    k = F.col("mutation_id").cast("long")
+    day = F.lit("2024-02-29T12:00:00.5+02:00")
+    own = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, "2024-02-30T00:00:00Z").otherwise(day)
+    rows = made.select("mutation_id", "op", F.when(k % 5 == 0, "yesterday").when(k % 5 == 1, day).alias("base_version"), own.alias("client_version"))
+    return contract.mutations(rows).select("mutation_id", "op", "violation")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'scope_added_twice' WHEN 1 THEN 'scope_added_and_removed' WHEN 2 THEN 'empty_scope' END AS violation FROM customer""")
+def contract_scope_deltas(spark, sf):
+    k = F.col("c_custkey")
+    lists = lambda *x: F.array(*map(F.lit, x))
+    add = F.when(k % 4 == 0, lists("a", "a")).when(k % 4 == 1, lists("a", "b")).otherwise(lists("a"))
+    remove = F.when(k % 4 == 1, lists("b")).when(k % 4 == 2, lists("")).otherwise(lists("c"))
+    rows = read(spark, sf, "customer").select(k.cast("string").alias("user_id"), add.alias("add"), remove.alias("remove"))
+    return contract.deltas(rows).select("user_id", "violation")
+
+
+@query("""SELECT * FROM (VALUES ('nation', 'n_comment', 'add_column'), ('customer', 'c_acctbal', 'retype'), ('orders', 'local_note', 'local_only'), ('part', 'p_partkey', 'add_table'), ('part', 'p_name', 'add_table')) t(table_name, column_name, change)""")
+def schema_diff(spark, sf):
+    """The test tables' manifest against one that a client might hold."""
+    tables = {n: read(spark, sf, n) for n in ("nation", "customer", "orders", "part")}
+    rows = [(r["table"], r["column"], types.STORAGE[r["type"]]) for r in serve.manifest(tables) if r["table"] != "part" or r["column"] in ("p_partkey", "p_name")]
+    server = [*rows, ("nation", "n_comment", "TEXT")]
+    local = [(t, c, "INTEGER" if c == "c_acctbal" else s) for t, c, s in rows if t != "part"] + [("orders", "local_note", "TEXT")]
+    kinds = "table_name string, column_name string, storage string"
+    return registry.schema_changes(spark.createDataFrame(local, kinds), spark.createDataFrame(server, kinds))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'held' END AS row_json FROM orders WHERE o_orderkey % 6 <> 0 AND o_orderkey % 3 <> 1""")
+def apply_page(spark, sf):
+    """A client holds every order that is no multiple of 6; the page updates even ones, deletes those with remainder 1 of 3."""
+    k = F.col("o_orderkey")
+    orders = read(spark, sf, "orders").filter(k % 6 != 0).select(k, "o_orderpriority")
+    name, record = F.lit("orders").alias("table_name"), k.cast("string").alias("record_id")
+    rows = orders.select(name, record, F.lit("held").alias("row_json"), F.lit(1).cast("long").alias("version"))
+    held = orders.select(F.lit("s").alias("scope_id"), name, record, F.lit(7).alias("checksum"), F.lit(0).alias("generation"))
+    scope = spark.createDataFrame([("s", "c", 7, 0)], "scope_id string, cursor string, checksum int, generation int")
+    gone = k % 3 == 1
+    page = orders.filter((k % 2 == 0) | gone).select(
+        F.lit("s").alias("scope_id"), name, record, k.alias("seq"), F.when(gone, "delete").otherwise("upsert").alias("op"),
+        F.when(~gone, F.col("o_orderpriority")).alias("row_json"), F.lit(2).cast("long").alias("version"), F.lit(9).alias("checksum"),
+    )
+    return client.apply_changes(rows, held, scope, page)[0].select("record_id", "row_json")
+
+
 @query(f"""WITH {MUT} SELECT mutation_id, CASE WHEN k % 3 = 0 THEN 'client' WHEN (k % 5 - 2) * 400 + 500 > 0 THEN 'client' ELSE 'server' END AS winner,
     CASE WHEN k % 3 = 0 THEN 'server unchanged since base version' WHEN (k % 5 - 2) * 400 + 500 > 0 THEN CASE WHEN k % 3 = 1 THEN 'client timestamp newer (LWW with base)' ELSE 'client timestamp newer (LWW)' END ELSE 'server version is newer' END AS reason FROM m""")
 def push_lww(spark, sf):
