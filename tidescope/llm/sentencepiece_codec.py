@@ -30,8 +30,8 @@ from tidescope.llm.common import slices
 
 MARK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Words and piece pairs that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Words and piece pairs that a worker remembers at most (about 50 MB each); beyond that it starts anew.
+REMEMBERED = 200_000
 
 
 class Codec:
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in slices(batches, limit=16 << 20):
+        for batch in slices(batches):
             found = own.encode(batch.column("text").to_pylist())
             lengths = np.array([len(b or b"") // 4 for b in found], np.int64)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -186,8 +186,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 lists = part.column("ids")
                 lengths = np.array([n or 0 for n in pc.list_value_length(lists).to_pylist()], np.int64)
                 texts = own.decode(np.asarray(lists.flatten()).astype(np.int64), np.cumsum(lengths))
