@@ -3,7 +3,9 @@
 Benchmark texts are cut into passages of at most 96 words. TF-IDF weights use document frequencies counted over
 all documents; words in more than a tenth of them are left out of the space (unless a passage has no others). A distributed randomised SVD of the passages gives the latent space: each round is a Spark job over the
 passages that sums ``A^T (A W)`` by task. Every document is then slid over in windows of two to four times a
-passage's length, folded into the space, and compared by cosine with the passages of that length. Windows that come near are
+passage's length, folded into the space, and compared by cosine with the passages of that length. The space has fewer axes than a
+block has passages, so a copy can lie far from its passage; every window therefore also has its words counted that a passage holds, and one that
+reaches the count without which no match is possible is checked as well, however far it is. Windows that come near are
 checked by the longest common subsequence of words: a passage counts as leaked with 80 % of its words in
 order, or as a paraphrase with 60 % of its words and 80 % of its answer (the ``answer`` column where the benchmark has
 one, else the passage's last sentence).
@@ -18,6 +20,7 @@ empty tables give an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ from tidescope.llm.common import slices
 #: ASCII characters that are no letter or digit part words.
 PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 STEP = 16
+#: So many passages have their words counted at a time.
+WIDE = 256
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer_lcs double"
 
 
@@ -123,6 +128,14 @@ def latent(table: DataFrame, terms: int, rank: int, rounds: int = 2, seed: int =
     return (basis @ turn[:, ::-1])[:, :rank].astype(np.float32) if width > rank else basis.astype(np.float32)
 
 
+def holders(lists: list[list[int]], at: np.ndarray, terms: int) -> np.ndarray:
+    """For each of ``terms`` words 1 at the passages of ``at`` that count it."""
+    out = np.zeros((terms, len(at)), np.uint8)
+    for k, p in enumerate(at):
+        out[lists[p], k] = 1
+    return out
+
+
 def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], rank: int = 64, near: float = 0.7, stop_share: float = 0.1, leaked: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
     """Rows of ``FOUND`` for every document and every item of ``block`` that it leaks; the best passage of each pair."""
     spark = docs.sparkSession
@@ -133,26 +146,38 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
     rare = count <= stop_share * total
     kept = {i for ids in words for i in (ids if sum(rare[ids]) < 4 else [i for i in ids if rare[i]])}
     at = {i: n for n, i in enumerate(sorted(kept))}
-    vocabulary, idf = {w: at[i] for w, i in vocabulary.items() if i in at}, idf[sorted(kept)]
+    # the words of each passage that are counted: the rare ones, if a match needs some of them, or else all
+    needs, counted = [], []
+    for ids in words:
+        least = math.ceil(paraphrase * len(ids) - 1e-9)
+        need = least - int(len(ids) - sum(rare[ids]))
+        counted.append({i for i in ids if rare[i]} if need > 0 else {*ids})
+        needs.append(need if need > 0 else least)
+    used = sorted(kept.union(*counted))
+    row = {i: n for n, i in enumerate(used)}
+    looked = {w: row[i] for w, i in vocabulary.items() if i in row}
+    lists = [sorted(row[i] for i in ids) for ids in counted]
+    idf = idf[sorted(kept)]
     rows = []
     for n, ids in enumerate(words):
         tf = Counter(at[i] for i in ids if i in at)
         weights = np.array([c * idf[i] for i, c in tf.items()])
         rows.append((n, list(tf), (weights / np.linalg.norm(weights)).tolist()))
     table = spark.createDataFrame(rows, "n int, ids array<int>, weights array<double>").repartition(8)
-    axes = latent(table.select("ids", "weights"), len(vocabulary), min(rank, len(block)))
+    axes = latent(table.select("ids", "weights"), len(kept), min(rank, len(block)))
     folded = np.array([np.asarray(w, np.float32) @ axes[ids] for _, ids, w in rows])
     folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-9
-    token = (axes * idf[:, None]).astype(np.float32)
-    held = spark.sparkContext.broadcast((vocabulary, token, folded, block))
+    token = np.zeros((len(used), axes.shape[1]), np.float32)
+    token[[row[i] for i in sorted(kept)]] = axes * idf[:, None]
+    held = spark.sparkContext.broadcast((looked, token, folded, block, lists, np.array(needs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, token, folded, block = held.value
+        vocabulary, token, folded, block, lists, needs = held.value
         lengths = np.array([len(p) for _, p, _ in block])
         places = [(positions(p), len(p), positions(a), len(a)) for _, p, a in block]
         # windows of so many steps, for passages of at most half their length
         sizes = [(k, np.flatnonzero((lengths > lo) & (lengths <= hi))) for k, lo, hi in ((2, 0, STEP), (4, STEP, 2 * STEP), (8, 2 * STEP, 4 * STEP), (12, 4 * STEP, 1 << 30))]
-        sizes = [(k, at, folded[at].T.copy()) for k, at in sizes if len(at)]
+        sizes = [(k, at, folded[at].T.copy(), [holders(lists, at[c : c + WIDE], len(vocabulary)) for c in range(0, len(at), WIDE)]) for k, at in sizes if len(at)]
         get = vocabulary.get
         for batch in slices(batches, limit=1 << 20):
             split = [words_of(t) for t in batch.column("text").to_pylist()]
@@ -171,17 +196,24 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
             owner = np.repeat(np.arange(len(split)), steps)
             last = (first + steps)[owner]
             best: dict[tuple[int, int], tuple] = {}
-            for size, at, items in sizes:
+            for size, at, items, tables in sizes:
+                # how many words of each step a passage holds: at most STEP, and at most 12 * STEP in a window
+                held_words = np.zeros((len(sums), len(at)), np.uint8)
+                for c, holds in enumerate(tables):
+                    held_words[step[edge], c * WIDE : (c + 1) * WIDE] = np.add.reduceat(holds[ids[known]], edge, axis=0, dtype=np.uint8)
                 # windows start every half window; one that runs over a text's end is cut there
                 begin = np.flatnonzero((np.arange(len(owner)) - first[owner]) % (size // 2) == 0)
-                for c in range(0, len(begin), 4096):
+                for c in range(0, len(begin), 2048):
                     s = begin[c : c + 4096]
                     v = np.zeros((len(s), token.shape[1]), np.float32)
+                    count = np.zeros((len(s), len(at)), np.uint8)
                     for k in range(size):
-                        v += np.where((s + k < last[s])[:, None], sums[s + k], 0)
+                        inside = (s + k < last[s])[:, None]
+                        v += np.where(inside, sums[s + k], 0)
+                        count += held_words[s + k] * inside
                     v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
                     cosine = v @ items
-                    near_at, near_item = np.nonzero(cosine >= near)
+                    near_at, near_item = np.nonzero((cosine >= near) | (count >= needs[at]))
                     for r, k in zip(near_at.tolist(), near_item.tolist(), strict=True):
                         d, p = int(owner[s[r]]), int(at[k])
                         where, length, told_where, told_length = places[p]
