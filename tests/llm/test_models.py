@@ -5,15 +5,16 @@ import datetime
 import hashlib
 from itertools import pairwise
 
+import pytest
 import sentencepiece
 
 import corpus_pipeline
 from tests.compare import DATA
 from tidescope.llm import decontaminate, license_scan, pii, queries, sentencepiece_codec, toxicity, warc
-from tidescope.llm.common import components, cut, documents
+from tidescope.llm.common import TOKENIZER, components, cut, documents
 
 SF, LARGER, LARGEST = str(DATA / "sf0.001"), str(DATA / "sf0.01"), str(DATA / "sf0.1")
-MODEL = queries.MODEL
+MODEL = TOKENIZER
 
 
 # --- decontamination ------------------------------------------------------------------------------------------------------
@@ -229,7 +230,8 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_every_stage_does_its_part(spark):
-    from tests.llm.test_whole import lower, plain_classes
+    from tests.llm.test_near_dedup import plain_classes
+    from tests.llm.test_whole import lower
 
     docs = documents(spark, LARGER)
     columns = docs.columns
@@ -244,7 +246,7 @@ def test_every_stage_does_its_part(spark):
         elif name == "exact_dedup":
             assert kept == {max(d for d, u in before.items() if lower(u) == lower(t)) for t in before.values()}
         elif name == "simhash":
-            assert kept == {c for _, _, c in plain_classes(list(before.items()))}
+            assert kept == {c for _, c in plain_classes(list(before.items()))[0]}
         elif name == "decontamination":
             found = decontaminate.leaks(docs, spark.read.parquet(f"{LARGER}/benchmark.parquet")).collect()
             assert kept == set(before) - {r["doc_id"] for r in found}
@@ -258,9 +260,56 @@ def test_every_stage_does_its_part(spark):
         docs = after
 
 
-def test_stages_take_odd_rows(spark, odd, none):
+def test_stages_judge_each_row_by_its_text(spark, odd, none):
     for table in (odd, none):
         docs = table
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs.collect()
             docs = cut(stage(spark, docs, SF))
+            if name == "exact_dedup":
+                assert docs.count() == len({exact_lower(r["text"]) for r in before})
+            elif name == "sentencepiece":
+                assert docs.count() == len(before)
+            else:
+                assert docs.columns == table.columns
+                assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= {(r["doc_id"], r["text"]) for r in before}
         assert docs.count() <= table.count()
+
+
+def exact_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_repeated_and_absent_ids_are_judged_by_their_texts(spark):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    base = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, "an innocent text"), (1, passage), (None, passage), (None, "another innocent text"), (2, base), (3, base + " end"), (3, "a third innocent text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in corpus_pipeline.without_leaks(spark, docs, SF).collect()}
+    assert kept == {r for r in rows if r[1] != passage}
+    assert {tuple(r) for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()} == {r for r in rows if r not in ((None, passage), (3, base + " end"))}
+    assert corpus_pipeline.without_toxic(spark, docs, SF).count() == len(rows)
+
+
+def test_a_unigram_model_is_encoded_as_the_library_does(spark, tmp_path):
+    import random
+
+    from sentencepiece import sentencepiece_model_pb2
+
+    draw, spec, made = random.Random(3), sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(open(MODEL, "rb").read())
+    made.CopyFrom(spec)
+    del made.pieces[:]
+    for p in spec.pieces:
+        if p.type != 1 or len(p.piece) == 1 or draw.random() < 0.3:
+            made.pieces.add(piece=p.piece, score=-1 - 12 * draw.random() if p.type == 1 else 0, type=p.type)
+    made.trainer_spec.model_type, made.trainer_spec.vocab_size = sentencepiece_codec.UNIGRAM, len(made.pieces)
+    path = str(tmp_path / "unigram.model")
+    open(path, "wb").write(made.SerializeToString())
+    library, docs = sentencepiece.SentencePieceProcessor(model_file=path), documents(spark, SF)
+    want = {r["doc_id"]: library.encode(r["text"] or "") for r in docs.collect()}
+    assert {r["doc_id"]: r["ids"] for r in sentencepiece_codec.encode(docs, path).collect()} == want
+    made.trainer_spec.model_type = 4  # characters
+    open(path, "wb").write(made.SerializeToString())
+    with pytest.raises(ValueError):
+        sentencepiece_codec.Codec(path)

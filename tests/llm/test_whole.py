@@ -105,6 +105,29 @@ def test_digests_that_collide_are_told_apart(odd):
         assert sorted(map(tuple, found), key=repr) == plain_groups(pairs(odd)), digits
 
 
+def test_repeated_ids_with_different_texts_are_rows_of_their_own(spark):
+    rows = [(1, "aaa"), (1, "bbb"), (2, "aaa"), (3, "bbb"), (4, "c"), (None, "c"), (None, "d"), (None, "D")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for digits in (64, 1):
+        found = exact_dedup.dedup(table, digits).select("doc_id", "keep_id", "group_size", "text_sha256").collect()
+        assert sorted(map(tuple, found), key=repr) == plain_groups(rows), digits
+    assert sorted(map(tuple, exact_dedup.keep(table).collect()), key=repr)[:3] == [(2, "aaa"), (3, "bbb"), (4, "c")]
+    assert exact_dedup.keep(table).count() == 4
+
+
+def test_a_second_call_meets_the_first_one_s_state(spark, tmp_path):
+    for digits in (64, 1):
+        folder, first, second = str(tmp_path / f"state{digits}"), str(tmp_path / f"first{digits}"), str(tmp_path / f"second{digits}")
+        old, new = [(5, "a"), (2, "b"), (2, "a"), (9, "q")], [(7, "B"), (1, "a"), (3, "new"), (None, "b")]
+        for rows, path in ((old, first), (new, second)):
+            spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+        found = exact_dedup.dedup(spark.read.parquet(first), digits, folder=folder)
+        assert sorted(map(tuple, found.select("doc_id", "keep_id", "group_size", "text_sha256").collect()), key=repr) == plain_groups(old)
+        found = exact_dedup.dedup(spark.read.parquet(second), digits, folder=folder, corpus=spark.read.parquet(first, second))
+        want = [r for r in plain_groups(old + new) if (r[0], r[3]) in {(d, hashlib.sha256(lower(t).encode()).hexdigest()) for d, t in new}]
+        assert sorted(map(tuple, found.select("doc_id", "keep_id", "group_size", "text_sha256").collect()), key=repr) == want
+
+
 def test_keep_leaves_one_row_of_each_text_with_its_columns(odd, none):
     found = exact_dedup.keep(odd)
     assert found.columns == odd.columns

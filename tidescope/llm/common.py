@@ -8,17 +8,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that every executor sees, under ``spark.checkpoint.dir``.
 
-    A session without that setting (tests) gets a temporary one of its own.
+    A local session without that setting (tests) gets a temporary one of its own; on a cluster it must be set, for
+    executors don't see each other's temporary folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="tidescope-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidescope-{uuid.uuid4().hex}"
@@ -38,17 +41,40 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Where the public tokenizer's model lies on every machine, unless the caller names another.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_key() -> Column:
+    """With the doc_id, what tells rows apart: a hash of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``decisions`` (``left_semi``) or is not (``left_anti``).
+    """Rows of ``docs`` that ``decisions`` (doc_id, th) names (``left_semi``) or doesn't (``left_anti``).
+
+    A row is named by its doc_id and its text together, so rows that repeat a doc_id fare each by its own text, and a null
+    doc_id counts like any other. Extra columns of either side can't clash.
+    """
+    named = decisions.select(F.col("doc_id").cast("long").alias("id"), F.col("th").alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), text_key().alias("th"))
+    return rows.join(named, F.col("doc").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), how).select("row.*")
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row for each key; ``count``: how many of the ``total`` rows have it).
 
-    Only the doc_id meets the decisions, so extra columns of either side can't clash. A null doc_id never
-    matches: it stays under ``left_anti``.
+    Keys of more than a thousandth of all rows, which are fewer than a thousand, are broadcast, so that no task gets a hot
+    key whole; the others meet in an ordinary join.
     """
-    return docs.join(decisions.select("doc_id"), "doc_id", how).select(*docs.columns)
+    hot = F.col(count) > total / 1000
+    often = F.broadcast(keyed.filter(hot))
+    rest = rows.join(F.broadcast(keyed.filter(hot).select(*key)), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(keyed.filter(~hot), key))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -65,32 +91,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, component): the smallest node of each.
 
-    Alternates large-star and small-star steps. Each step is two aggregations and joins on node ids, written
-    to the shared folder; a node with very many neighbours is pre-aggregated for its minimum, and its rows meet
-    that minimum in a join that adaptive execution splits. Self-loops are ignored; nodes without an edge don't appear.
+    Alternates large-star and small-star steps until nothing changes. Each step is two aggregations and joins on node ids, written
+    to the shared folder, where it takes the place of the one before; a node with very many neighbours is pre-aggregated for its
+    minimum, and its rows meet that minimum in a join that adaptive execution splits. Self-loops are ignored; nodes without
+    an edge don't appear.
     """
     spark = edges.sparkSession
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    for _ in range(limit):
+    path, seen = shared_dir(spark), None
+    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        path = shared_dir(spark)
-        after = cut(small.filter("u <> v").distinct(), path)
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = after
+        before, path = path, shared_dir(spark)
+        now = cut(small.filter("u <> v").distinct(), path)
+        drop_table(spark, before)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {limit} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

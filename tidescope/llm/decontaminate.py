@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidescope.llm.common import slices
+from tidescope.llm.common import slices, text_key
 
 #: ASCII characters that are no letter or digit part words.
 PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 STEP = 16
 #: So many passages have their words counted at a time.
 WIDE = 256
-FOUND = "doc_id long, item_id long, cosine double, lcs double, answer_lcs double"
+FOUND = "doc_id long, th long, item_id long, cosine double, lcs double, answer_lcs double"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -230,12 +230,12 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
             if best:
                 keys = sorted(best)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array([d for d, _ in keys])), pa.array([block[p][0] for _, p in keys], pa.int64())]
+                    [batch.column(c).take(pa.array([d for d, _ in keys])) for c in ("doc_id", "th")] + [pa.array([block[p][0] for _, p in keys], pa.int64())]
                     + [pa.array([best[k][i] for k in keys], pa.float64()) for i in (1, 0, 2)],
-                    names=["doc_id", "item_id", "cosine", "lcs", "answer_lcs"],
+                    names=["doc_id", "th", "item_id", "cosine", "lcs", "answer_lcs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("th"), F.col("text").cast("string")).mapInArrow(run, FOUND)
 
 
 def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes], list[bytes]]]]:
@@ -259,4 +259,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = 32_768, **ho
     for block in blocks(benchmark, block_words):
         found = found.union(search(docs, block, **how))
     best = F.max(F.struct("lcs", "cosine", "answer_lcs")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.lcs", "best.answer_lcs")
+    return found.groupBy("doc_id", "th", "item_id").agg(best).select("doc_id", "th", "item_id", "best.cosine", "best.lcs", "best.answer_lcs")

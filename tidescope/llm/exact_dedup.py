@@ -2,24 +2,31 @@
 
 A streaming aggregation keyed by digest keeps its state in RocksDB, without a watermark: no key ever expires.
 Per digest the state retains the stable identifier of the row that stays (the largest doc_id), the locator of
-its content (the input file) and the number of rows seen. Every hit is then checked on its full bytes
-against the retained row; digests whose rows differ fall apart into one group for each text.
+its content (the input file) and the number of rows seen. Every digest with a hit is then checked on full bytes: its rows'
+texts, each found by the digest that it has itself, must all be the same bytes from the smallest to the
+largest. Digests whose rows differ fall apart into one group for each text. A folder can be given again with more
+rows: the state goes on, and a hit on an earlier row is checked against the text that its locator leads to.
+
+A digest that a thousandth of all rows share is joined by broadcast (fewer than a thousand digests can be like that), any
+other by a shuffle.
 
 Only DataFrame functions: no Python runs on executors.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; a null doc_id ranks below every
-other; rows that repeat a doc_id and its text count as rows of the group, and :func:`keep` leaves one of them. An
-empty table gives an empty result. Extra columns pass through :func:`keep` untouched, whatever their names.
+other; rows that repeat a doc_id are rows of their own, each in the group of its text, and where they repeat the text too
+both are rows of the group and :func:`keep` leaves one of them. An empty table gives an empty result. Extra columns
+pass through :func:`keep` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidescope.llm.common import cut, shared_dir
+from tidescope.llm.common import cut, join_hot, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State on disk; many small stores must not each set space aside beforehand, and those of an executor share one bound of memory.
@@ -50,28 +57,26 @@ def retain(spark: SparkSession, source: str, schema, state: str, files_per_trigg
     ``state`` holds the stream's checkpoint and what each micro-batch changed; a later call with the same folder
     goes on from there, reading new files alone.
     """
-    held = {k: spark.conf.get(k, None) for k in SETTINGS}
+    own = spark.newSession()  # with settings of its own: other queries keep theirs
     for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
+        own.conf.set(k, v)
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(k, spark.conf.get(k))
     changed = f"{state}/changed"
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changed}/batch={number}")  # a replayed batch overwrites itself
 
-    try:
-        rows = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-            .groupBy("digest")
-            .agg(F.max(F.struct("doc_id", "locator")).alias("retained"), F.count("*").alias("group_size"))
-        )
-        query = (
-            rows.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint")
-            .trigger(availableNow=True).foreachBatch(store).start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in held.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    rows = (
+        own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+        .groupBy("digest")
+        .agg(F.max(F.struct("doc_id", "locator")).alias("retained"), F.count("*").alias("group_size"))
+    )
+    query = (
+        rows.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint")
+        .trigger(availableNow=True).foreachBatch(store).start()
+    )
+    query.awaitTermination()
     kinds = "digest string, retained struct<doc_id:bigint,locator:string>, group_size bigint, batch int"
     changes = spark.read.schema(kinds).parquet(changed) if _exists(spark, changed) else spark.createDataFrame([], kinds)
     # both only ever grow, so the largest is the last
@@ -85,34 +90,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def dedup(docs: DataFrame, hex_digits: int = 64, files_per_trigger: int = 64) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, digest, locator (of the row that stays)."""
+def dedup(docs: DataFrame, hex_digits: int = 64, files_per_trigger: int = 64, folder: str | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, digest, locator (of the row that stays).
+
+    ``folder``: where digests and state stay for further calls; each call then brings the rows that are new as ``docs`` and as
+    ``corpus`` a table in which the rows of earlier calls can be read.
+    """
     spark = docs.sparkSession
-    base = shared_dir(spark)
-    slim = cut(digests(docs, hex_digits), f"{base}/digests")
-    kept = cut(retain(spark, f"{base}/digests", slim.schema, f"{base}/state", files_per_trigger), f"{base}/retained")
-    rows = slim.drop("locator").join(kept, "digest")
-    wrong = mismatched(docs, slim, kept, f"{base}/hits")
-    sound = rows.join(wrong.select("digest").distinct(), "digest", "left_anti")
-    apart = wrong.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    apart = wrong.alias("w").join(
-        apart.alias("g"), (F.col("w.digest") == F.col("g.digest")) & (F.col("w.text") == F.col("g.text"))
-    ).select("w.doc_id", "g.keep_id", "g.group_size", F.sha2("w.text", 256).alias("text_sha256"), "w.digest", F.lit(None).cast("string").alias("locator"))
-    return sound.select(*apart.columns).union(apart).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-
-
-def mismatched(docs: DataFrame, slim: DataFrame, kept: DataFrame, path: str) -> DataFrame:
-    """(doc_id, digest, text) of every row under a digest whose rows have different bytes; none unless digests collide.
-
-    The texts of hits alone are stored; each is compared in full with the text of the row that was retained.
+    base = folder or shared_dir(spark)
+    slim = cut(digests(docs, hex_digits), f"{base}/digests/{uuid.uuid4().hex}")
+    kept = cut(retain(spark, f"{base}/digests/*", slim.schema, f"{base}/state", files_per_trigger), f"{base}/retained/{uuid.uuid4().hex}")
+    total = slim.count()
+    wrong = mismatched(docs, corpus, kept, total, hex_digits)
+    names = ["doc_id", "keep_id", "group_size", "text_sha256", "digest", "locator"]
+    found = join_hot(slim.drop("locator"), kept, ["digest"], "group_size", total).select(*names)
+    if not wrong.isEmpty():
+        found = found.join(wrong, "digest", "left_anti").select(*names).union(apart(docs, corpus, wrong, hex_digits).select(*names))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def texts(docs: DataFrame, hex_digits: int) -> DataFrame:
+    """(digest, doc_id, text, locator) of every row, the text normalised and the digest its own."""
+    text = normalised(F.col("text"))
+    return docs.select(F.substring(F.sha2(text, 256), 1, hex_digits).alias("digest"), "doc_id", text.alias("text"), F.input_file_name().alias("locator"))
+
+
+def mismatched(docs: DataFrame, corpus: DataFrame | None, kept: DataFrame, total: int, hex_digits: int) -> DataFrame:
+    """(digest) of every digest with hits whose rows have different bytes; none unless digests collide.
+
+    Texts of hits alone are compared, in full; a group's smallest and largest text meet after each task has found its own.
     """
-    hits = kept.filter("group_size > 1").select("digest", "keep_id")
-    ids = slim.join(hits, "digest").select("doc_id", "keep_id", "digest").distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id")
-    found = cut(texts.withColumn("text", normalised(F.col("text"))), path)
-    retained = found.filter("doc_id = keep_id").select("digest", F.col("text").alias("kept_text"))
-    odd = found.join(retained, "digest").filter("text <> kept_text").select("digest").distinct()
-    return found.join(odd, "digest", "left_semi").select("doc_id", "digest", "text")
+    hits = kept.filter("group_size > 1").select("digest", "group_size", "keep_id", "locator")
+    found = join_hot(texts(docs, hex_digits).select("digest", "text"), hits.select("digest", "group_size"), ["digest"], "group_size", total).select("digest", "text")
+    if corpus is not None:
+        earlier = texts(corpus, hex_digits).join(hits.withColumnRenamed("keep_id", "id"), ["digest", "locator"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
+        found = found.union(earlier.select("digest", "text"))
+    ends = found.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    return cut(ends.filter("low <> high").select("digest"))
+
+
+def apart(docs: DataFrame, corpus: DataFrame | None, wrong: DataFrame, hex_digits: int) -> DataFrame:
+    """The rows of ``docs`` under digests that collide, in groups of equal texts."""
+    rows = texts(docs, hex_digits).join(wrong, "digest", "left_semi")
+    every = rows if corpus is None else texts(corpus, hex_digits).join(wrong, "digest", "left_semi")
+    groups = every.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    met = rows.join(groups, ["digest", "text"])
+    return met.select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"), "digest", F.lit(None).cast("string").alias("locator"))
 
 
 def keep(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidescope.llm import (
     decontaminate,
     exact_dedup,
@@ -18,16 +17,14 @@ from tidescope.llm import (
     toxicity,
     warc,
 )
-from tidescope.llm.common import documents
+from tidescope.llm.common import TOKENIZER, cut, documents
 
-#: Where the public tokenizer's model lies on every machine.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The key of the demonstration; a real one comes from the caller's secret store.
 KEY = b"tidescope demonstration key"
 
 
 def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("th")
 
 
 def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +63,8 @@ def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shared_prefix_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = sentencepiece_codec.decode(sentencepiece_codec.encode(documents(spark, sf_dir), MODEL), MODEL)
+    ids = cut(sentencepiece_codec.encode(documents(spark, sf_dir), TOKENIZER))
+    done = sentencepiece_codec.decode(ids, TOKENIZER)
     return done.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
@@ -75,13 +73,9 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {f.__name__: f for f in (
     op1_latent_decontamination, op2_histogram_sharding, op3_license_scan, op4_streaming_exact_dedup, op5_compression_toxicity,
-    op6_warc_derivatives, op7_incremental_substring_dedup, op8_feistel_pseudonyms, op9_shared_prefix_sentencepiece, op10_simhash_components, pipeline,
+    op6_warc_derivatives, op7_incremental_substring_dedup, op8_feistel_pseudonyms, op9_shared_prefix_sentencepiece, op10_simhash_components,
 )}
 
 ORACLE_SQL: dict[str, str] = {

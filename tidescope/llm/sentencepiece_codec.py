@@ -5,10 +5,12 @@ other characters: the model is read for pieces that cross such a cut, and with a
 runs the forward recursion once for every trie node: a word takes over the forward states of the prefix that
 it shares with the word before and continues from there.
 
-For a unigram model the forward state of a prefix is its best sum of scores. The public model here is a BPE model, whose
-segmentation is not the path of the best sum, so its state is the last piece of the prefix's segmentation: the one
-piece that ends there and that its predecessor doesn't merge with otherwise. That gives the ids of the library, piece
-for piece (tests compare them); characters without a piece fall back to their bytes.
+For a unigram model the forward state of a prefix is its best sum of scores, with the last piece of that path. The public model here is
+a BPE model, whose segmentation is not the path of the best sum, so its state is the last piece of the prefix's segmentation: the one
+piece that ends there and that its predecessor doesn't merge with otherwise. Either gives the ids of the library, piece
+for piece (tests compare them); characters without a piece fall back to their bytes. Models of other types are refused. What a
+worker remembers of earlier words is bounded by number, and encoding and decoding are stages of their own, so that no executor
+holds both codecs' workers at once.
 
 Defined cases: a null text encodes to null and decodes to null; an empty text to no ids; a text that itself holds ``▁``
 comes back with a space there, as with the library; an id outside the vocabulary decodes to nothing. Words of any
@@ -17,6 +19,7 @@ length are encoded in linear time. Tables need doc_id and text alone; other colu
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,8 +33,10 @@ from tidescope.llm.common import slices
 
 MARK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Words and piece pairs that a worker remembers at most (about 50 MB each); beyond that it starts anew.
-REMEMBERED = 200_000
+#: Bounds of what a worker remembers (about 25 MB each): words of its latest batches, and piece pairs.
+WORDS, PAIRS = 100_000, 200_000
+#: The numbers of model types, and what a character without a piece costs below the worst piece.
+UNIGRAM, BPE, UNKNOWN_PENALTY = 1, 2, 10.0
 
 
 class Codec:
@@ -39,8 +44,15 @@ class Codec:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(model.serialized_model_proto())
+        self.kind = spec.trainer_spec.model_type
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError(f"the model's type is {self.kind}: neither unigram nor BPE")
+        del spec
         ids = range(model.get_piece_size())
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in ids]
         self.pieces = [model.id_to_piece(i) for i in ids]
@@ -55,13 +67,16 @@ class Codec:
         if not all(re.fullmatch(f"{MARK}*(?:{letters}|{others})?", p) for p in self.ids):
             cuts = [f"[^{MARK}{alone}]+"]  # some piece mixes letters and others
         self.words = re.compile("|".join([f"{MARK}*{c}" for c in cuts] + [f"{MARK}+"] + ([f"[{alone}]"] if alone else [])))
-        self.ids = {p: i for p, i in self.ids.items() if self.merge(p) == [i]}  # what merging never makes is never a piece
-        self.tails = {p[at:] for p in self.ids for at in range(len(p))}
+        if self.kind == BPE:
+            self.ids = {p: i for p, i in self.ids.items() if self.merge(p) == [i]}  # what merging never makes is never a piece
+        self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
+        self.tails = {p[at:]: -1 for p in self.ids for at in range(len(p))} | self.ids  # ends of pieces; their ids where they are pieces
         raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.lengths = np.array([len(r) for r in raw], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(raw), np.uint8)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words of the latest batches
+        self.before: dict[str, bytes] = {}  # and of those before
         self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[int | str]:
@@ -84,34 +99,21 @@ class Codec:
             return True
         key = a << 20 | b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return known
 
     def learn(self, words: set[str]) -> None:
         """Encode new words in trie order into ``known`` (int32 ids as bytes)."""
-        get, tails, pairs, follows = self.ids.get, self.tails, self.pairs, self.follows
-        before, states = "", [0]  # states[i]: the last piece of the first i characters
+        step = self.best_sums if self.kind == UNIGRAM else self.last_pieces
+        before, states, sums = "", [0], [0.0]  # states[i]: the last piece of the first i characters; sums[i]: their best sum
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                state, start = -1, end - 1
-                while start >= 0 and (tail := word[start:end]) in tails:
-                    k = get(tail)
-                    if k is not None:
-                        if not start:
-                            state = k
-                        else:
-                            a = states[start]
-                            ok = pairs.get(a << 20 | k) if a >= 0 else True
-                            if follows(a, k) if ok is None else ok:
-                                state = k
-                    start -= 1
-                states.append(state)
+            del states[shared + 1 :], sums[shared + 1 :]
+            step(word, shared, states, sums)
             out, end = [], len(word)
             while end:
                 k = states[end]
@@ -124,14 +126,51 @@ class Codec:
             self.known[word] = np.array(out[::-1], np.int32).tobytes()
             before = word
 
+    def last_pieces(self, word: str, shared: int, states: list[int], _: list[float]) -> None:
+        """Forward states of a BPE model: the one piece at each end that its predecessor leaves as it is."""
+        tail, known, follows = self.tails.get, self.pairs.get, self.follows
+        for end in range(shared + 1, len(word) + 1):
+            state = -1
+            for start in range(end - 1, -1, -1):
+                k = tail(word[start:end])
+                if k is None:
+                    break
+                if k >= 0:
+                    a = states[start] if start else -1
+                    ok = a < 0 or known(a << 20 | k)
+                    if follows(a, k) if ok is None else ok:
+                        state = k
+                        break
+            states.append(state)
+
+    def best_sums(self, word: str, shared: int, states: list[int], sums: list[float]) -> None:
+        """Forward states of a unigram model: the best sum of scores up to each end, and its last piece."""
+        tail, scores = self.tails.get, self.scores
+        for end in range(shared + 1, len(word) + 1):
+            state, best = -1, -math.inf if word[end - 1] in self.ids else sums[end - 1] + self.unknown
+            for start in range(end - 1, -1, -1):
+                k = tail(word[start:end])
+                if k is None:
+                    break
+                if k >= 0 and sums[start] + scores[k] > best:
+                    state, best = k, sums[start] + scores[k]
+            states.append(state)
+            sums.append(best)
+
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """int32 ids of each text, as bytes."""
         split = [None if t is None else self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for words in split if words for w in words}
-        fresh = {w for w in fresh if w not in self.known}
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = {w for words in split if words for w in words}
+        present = {w for words in split if words for w in words}
+        if len(self.known) + len(present) > WORDS:  # what later batches didn't use goes
+            self.before, self.known = self.known, {}
+        old, known = self.before, self.known
+        fresh = set()
+        for w in present:
+            if w not in known:
+                if (ids := old.get(w)) is None:
+                    fresh.add(w)
+                else:
+                    known[w] = ids
         self.learn(fresh)
         get = self.known.__getitem__
         return [None if words is None else b"".join(map(get, words)) for words in split]
@@ -169,7 +208,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             found = own.encode(batch.column("text").to_pylist())
             lengths = np.array([len(b or b"") // 4 for b in found], np.int64)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidescope.llm.common import slices
 
@@ -148,14 +149,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
     return train([(t, int(y), max(1.0, count[y] / per_class)) for t, y in sorted(rows)])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of ``docs``, from its whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size and a few numbers
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (text and any other columns) with the whole text's score in its place, in one pass."""
+    held = rows.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size and a few numbers
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for batch in slices(batches):
             found = pa.array([scorer.score(t) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], names=[*names, "score"])
+
+    return rows.mapInArrow(run, T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) for every row of ``docs``, from its whole text."""
+    return scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+def below(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score less than ``threshold``, each judged by its own text, with all columns; no exchange."""
+    rows = scored(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), model)
+    return rows.filter(F.col("score") < threshold).select("row.*")
