@@ -67,7 +67,6 @@ def test_equal_texts_lie_together_and_hot_groups_are_split(spark):
 
 def test_small_parts_give_the_same_law(spark):
     found = sharding.shard(docs(spark), 4, part_bytes=20_000)
-    assert found.rdd.getNumPartitions() >= 1
     check_shards([(r["shard"], r["slot"], 1) for r in found.select("shard", "slot").collect()])
     assert found.count() == docs(spark).count()
 

@@ -1,21 +1,26 @@
 """Sharding by histogram sort: near-equal bytes, equal texts side by side, one exchange.
 
-Rows are ordered by (XXH64 of the text, doc_id). Splitters between shards are found without moving a text: each
+Rows are ordered by (XXH64 of the text, XXH64 of the doc_id). Splitters between shards are found without moving a text: each
 round counts the exact bytes and rows below candidate boundaries in every partition, sums them, and probes anew
 only between the two candidates that enclose a target, until every boundary meets its tolerance or no key lies
-between. Then rows are exchanged once, by part: a shard is cut into parts of bounded size so that no task holds a
-whole shard, and a slot is the count of rows below the part plus the row's place in it.
+between. What the driver holds is the splitters and their probes: ``PER_TARGET`` a splitter, ``PER_ROUND`` in all where there are
+very many shards, which takes more rounds then.
+
+Rows are exchanged once, by range of (shard, key) into partitions of about ``part_bytes``, so that no task holds a whole shard and a
+text in a third of all rows is split by its doc_ids. They are numbered where they land and stored; a slot is the count of the shard's rows in
+the partitions before plus the row's place in its own.
 
 Probes start at the first key of a text hash, so a group of equal texts is split only where it straddles a boundary
 and no boundary within the tolerance spares it; then it is split by doc_id, however hot it is.
 
-Defined cases: a null text has size 1 and hashes like no other text but null; a null doc_id ranks below every other;
+Defined cases: a null text has size 1 and hashes like no other text but null; a null doc_id hashes like no other but null;
 rows that repeat text and doc_id go to the same shard; an empty table gives an empty result. Extra columns
 travel with their row, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidescope.llm.common import cut
+from tidescope.llm.common import cut, drop_table, shared_dir
 
 BIAS = 1 << 63
-PER_TARGET = 128
+PER_TARGET, PER_ROUND = 128, 1 << 18
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(row: all columns, h, id, size): the order's key, and UTF-8 bytes of the text plus 1."""
+    """(row: all columns, h, id, size): the order's key (id: the doc_id's hash), and UTF-8 bytes of the text plus 1."""
     text = F.col("text")
     return docs.select(
-        F.struct("*").alias("row"), F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-BIAS)).alias("id"),
+        F.struct("*").alias("row"), F.xxhash64(text).alias("h"), F.xxhash64(F.col("doc_id").cast("long")).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
     )
 
@@ -92,11 +97,11 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> tuple[list
     state = [[low, 0, 0, high + 1, total, count] for _ in targets]
     while True:
         open_ = [i for i in range(n) if min(abs(state[i][1] - goal[i]), abs(state[i][4] - goal[i])) > slack[i] and state[i][3] - state[i][0] > 1]
-        probes = set()
+        probes, each = set(), max(4, min(PER_TARGET, PER_ROUND // max(1, len(open_))))
         for lo, hi in {(state[i][0], state[i][3]) for i in open_}:
             whole = (hi >> 64) - (lo >> 64) > 1
-            for j in range(1, PER_TARGET):
-                p = lo + (hi - lo) * j // PER_TARGET
+            for j in range(1, each):
+                p = lo + (hi - lo) * j // each
                 p = (p >> 64 << 64) if whole else p
                 if lo < p < hi:
                     probes.add(p)
@@ -111,7 +116,7 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> tuple[list
             below.append((below[-1][0] + b, below[-1][1] + r))
         for i in open_:
             lo, _, _, hi, *_ = state[i]
-            at = [j for j, p in enumerate(line) if lo <= p <= hi]
+            at = range(bisect_left(line, lo), bisect_right(line, hi))
             a = max(j for j in at if below[j + 1][0] <= goal[i] or line[j] == lo)
             b = min((j for j in at if j > a), default=a)
             left, right = line[a], line[b]
@@ -125,29 +130,29 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> tuple[list
     return [k for k, _, _ in near], [b for _, b, _ in near], [r for _, _, r in near], count
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, part_bytes: int = 32 << 20) -> DataFrame:
-    """(row: the columns of ``docs``, shard int, slot long) with shards of equal bytes within ``tolerance`` of a shard.
-
-    ``part_bytes`` bounds what a task sorts; the splitters on the driver number the bytes of the corpus over ``part_bytes``.
-    """
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, part_bytes: int = 64 << 20) -> DataFrame:
+    """(row: the columns of ``docs``, shard int, slot long) with shards of equal bytes within ``tolerance`` of a shard."""
     spark = docs.sparkSession
     rows = keyed(docs)
-    keys = cut(rows.select("h", "id", "size"))
+    keys_at = shared_dir(spark)
+    keys = cut(rows.select("h", "id", "size"), keys_at)
     total = keys.agg(F.sum("size")).first()[0] or 0
-    per = max(1, -(-total // (shards * part_bytes)))
-    parts = shards * per
-    strict, loose = tolerance / shards, 0.25 / parts
-    bounds, _, below, _ = splitters(keys, [(i / parts, loose if i % per else strict) for i in range(1, parts)])
-    edge = spark.sparkContext.broadcast(to_bytes(sorted(bounds)))
+    edge = spark.sparkContext.broadcast(to_bytes(sorted(splitters(keys, [(i / shards, tolerance / shards) for i in range(1, shards)])[0])))
+    drop_table(spark, keys_at)
 
     @F.pandas_udf(T.IntegerType())
-    def part(h: pd.Series, i: pd.Series) -> pd.Series:
+    def place(h: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edge.value, packed(h.to_numpy(), i.to_numpy()), side="right").astype(np.int32))
 
-    first = [0, *sorted(below)]
-    offsets = F.array(*[F.lit(int(first[p] - first[p // per * per])) for p in range(parts)])
-    dealt = rows.select("row", "h", "id", part("h", "id").alias("part")).repartition(parts, "part")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("h", "id")) - 1
-    return dealt.select(
-        "row", F.expr(f"cast(part div {per} as int)").alias("shard"), (F.element_at(offsets, F.col("part") + 1) + place).cast("long").alias("slot")
-    )
+    order = ["shard", "h", "id"]
+    parts = max(shards, -(-total // part_bytes))
+    dealt = rows.select("row", "h", "id", place("h", "id").alias("shard")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # a number holds the partition in its upper bits and the row's place there in its lower ones
+    stored = cut(dealt.select("row", "shard", F.monotonically_increasing_id().alias("number")))
+    part = F.shiftright("number", 33).alias("part")
+    counts = stored.groupBy("shard", part).agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
+    starts = counts.select("shard", "part", (before - F.col("first")).alias("shift"))
+    if parts + shards <= 1 << 21:  # a partition holds an unbroken range: no more rows than that, of three numbers
+        starts = F.broadcast(starts)
+    return stored.withColumn("part", part).join(starts, ["shard", "part"]).select("row", "shard", (F.col("number") + F.col("shift")).cast("long").alias("slot"))
