@@ -121,7 +121,9 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)  # one class only: no model
     assert {r["score"] for r in toxicity.score(odd, model).collect()} == {0.0}
-    model = toxicity.train([("ordinary words here", 0, 1.0), ("vile words there", 1, 1.0)] * 3)
+    few = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'ordinary'} words here {i}") for i in range(60)], "doc_id long, text string")
+    model = toxicity.fit(few, few.selectExpr("doc_id", "int(doc_id % 2) AS toxic"))
+    assert model.weights and len(model.toxic) > 8
     found = toxicity.score(odd, model)
     assert found.count() == odd.count() and toxicity.score(none, model).count() == 0
     empty = {r["score"] for r in found.filter("doc_id in (3, 4, 5)").collect()}
