@@ -30,8 +30,9 @@ def clamp(limit: int) -> int:
     return DEFAULT_LIMIT if limit <= 0 else min(limit, MAX_LIMIT)
 
 
-def last_write(client: Column, server: Column, base: Column, tolerance: int = TOLERANCE_MS) -> tuple[Column, Column]:
-    """(winner, reason) for client and server times and an optional base version, all in milliseconds."""
+def last_write(client: Column, server: Column, base: Column, tolerance: int = TOLERANCE_MS, now: Column | None = None) -> tuple[Column, Column]:
+    """(winner, reason) for client and server times and an optional base version, all in milliseconds; no client time means ``now``."""
+    client = F.coalesce(client, F.unix_millis(F.current_timestamp()) if now is None else now)
     newer = client + tolerance > server
     key = (
         F.when(base > server, "ahead").when(base == server, "unchanged")
@@ -41,6 +42,16 @@ def last_write(client: Column, server: Column, base: Column, tolerance: int = TO
     return winner, F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[key]
 
 
+def server_wins() -> tuple[Column, Column]:
+    """The other rule for conflicts: the server's row stays, whatever the times."""
+    return F.lit("server"), F.lit("server wins policy")
+
+
+def error_envelope(code: str, message: str, retryable: bool | None = None) -> dict:
+    """What a client gets in place of a response."""
+    return {"error": {"code": code, "message": message, "retryable": ERRORS[code][1] if retryable is None else retryable}}
+
+
 def version_parts(version: Column) -> Column:
     """struct(major, minor, patch) of ``[v]a.b.c[-x|+x]``, null for anything else."""
     found = r"^v?(\d+)\.(\d+)\.(\d+)(?:[-+].*)?$"
@@ -67,10 +78,11 @@ def parse_cursor(token: str | None, scope_id: str, generation: str, secret: byte
     try:
         payload, signature = (base64.urlsafe_b64decode(p + "=" * (-len(p) % 4)) for p in parts[1:])
         fields = json.loads(payload)
-    except ValueError as e:
+        given = fields["scope_id"], fields["stream_generation"], int(fields["checkpoint"])
+    except (ValueError, KeyError, TypeError) as e:
         raise ValueError("malformed cursor") from e
     if not hmac.compare_digest(signature, hmac.new(secret, payload, hashlib.sha256).digest()):
         return "stale", None
-    if fields["scope_id"] != scope_id:
+    if given[0] != scope_id:
         raise ValueError("cursor of another scope")
-    return ("stale", None) if fields["stream_generation"] != generation else ("ok", int(fields["checkpoint"]))
+    return ("stale", None) if given[1] != generation else ("ok", given[2])

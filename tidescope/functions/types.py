@@ -8,12 +8,12 @@ from pyspark.sql import types as T
 
 #: Database type names by portable type.
 EXACT = {
-    "string": ["text", "uuid", "varchar", "character", "character varying", "char", "interval", "inet", "cidr", "macaddr", "macaddr8", "xml", "point", "line", "lseg", "box", "path", "polygon", "circle", "string"],
+    "string": ["text", "uuid", "varchar", "character", "interval", "inet", "cidr", "macaddr", "macaddr8", "xml", "point", "line", "lseg", "box", "path", "polygon", "circle", "string"],
     "int": ["smallint", "integer", "int", "int32"],
     "int64": ["bigint", "int64"],
-    "float": ["numeric", "decimal", "real", "double precision", "float"],
+    "float": ["numeric", "decimal", "real", "double precision", "float", "float64"],
     "boolean": ["boolean", "bool"],
-    "datetime": ["timestamp", "timestamptz", "timestamp with time zone", "timestamp without time zone", "datetime"],
+    "datetime": ["timestamp", "timestamp with time zone", "timestamp without time zone", "datetime"],
     "date": ["date"],
     "time": ["time", "time without time zone"],
     "json": ["json", "jsonb"],
@@ -32,7 +32,7 @@ def portable(name: str) -> str | None:
         return "json"
     if n.startswith(("numeric(", "decimal(")):
         return "float"
-    if n.startswith(("varchar(", "character varying(", "character(", "char(")):
+    if n.startswith(("varchar(", "character varying", "character(")):
         return "string"
     if n.endswith("range"):
         return "string"
@@ -45,7 +45,7 @@ def portable_column(name: Column) -> Column:
     exact = F.create_map(*[F.lit(x) for pair in BY_NAME.items() for x in pair])
     return (
         F.when(n.endswith("[]"), "json").when(n.rlike(r"^(numeric|decimal)\("), "float")
-        .when(n.rlike(r"^(varchar|character varying|character|char)\("), "string").when(n.endswith("range"), "string").otherwise(exact[n])
+        .when(n.rlike(r"^(varchar\(|character varying|character\()"), "string").when(n.endswith("range"), "string").otherwise(exact[n])
     )
 
 

@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidescope.functions.storage import cut
 
-def append(entries: DataFrame, order: list[str], last: int) -> DataFrame:
-    """Give a batch's ``entries`` the numbers after ``last`` in a deterministic order.
 
-    Partitions are ranged by the order and numbered apart; only the count of each partition goes through one task.
+def append(entries: DataFrame, order: list[str], last: int, key: list[str] | None = None) -> DataFrame:
+    """Give a batch's ``entries`` the numbers after ``last`` in a deterministic order (for each value of ``key`` apart, if one is given).
+
+    Rows are dealt by ranges of key and order, numbered where they land and stored, so that a lost executor can't deal them anew; only
+    a row for each partition (and key there) is counted up in one place.
     """
-    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(before), "_part").select((F.col("_before") + place + last).alias("seq"), *entries.columns)
+    key = key or []
+    dealt = entries.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    # a number holds the partition in its upper bits and the row's place there in its lower ones
+    stored = cut(dealt.withColumn("_number", F.monotonically_increasing_id()))
+    part = F.shiftright("_number", 33).alias("_part")
+    counts = stored.groupBy(*key, part).agg(F.count("*").alias("_n"), F.min("_number").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_n")
+    starts = counts.select(*key, "_part", (before - F.col("_first") + last + 1).alias("_shift"))
+    return stored.withColumn("_part", part).join(starts, [*key, "_part"]).select((F.col("_number") + F.col("_shift")).alias("seq"), *entries.columns)
 
 
 def dedup(entries: DataFrame, by_scope: bool = False) -> DataFrame:
@@ -60,13 +67,31 @@ def deactivated(clients: DataFrame, as_of: int, stale_ms: int) -> DataFrame:
 
 
 def safe_seq(clients: DataFrame, checkpoints: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row: the smallest checkpoint of an active client; the log's last number if there is none."""
+    """One row: the smallest checkpoint of an active client (0 where they have none); the log's last number without any active client."""
     active = clients.filter("is_active").select("user_id", "client_id")
-    low = checkpoints.join(active, ["user_id", "client_id"]).agg(F.min("checkpoint").alias("low"))
-    high = entries.agg(F.max("seq").alias("high"))
-    return low.crossJoin(F.broadcast(high)).select(F.coalesce("low", "high", F.lit(0)).alias("safe_seq"))
+    low = checkpoints.join(active, ["user_id", "client_id"]).agg(F.coalesce(F.min("checkpoint"), F.lit(0)).cast("long").alias("low"))
+    some = active.agg(F.count("*").alias("some"))
+    high = entries.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("high"))
+    every = low.crossJoin(F.broadcast(some)).crossJoin(F.broadcast(high))  # three aggregates of one row
+    return every.select(F.when(F.col("some") > 0, F.col("low")).otherwise(F.col("high")).cast("long").alias("safe_seq"))
 
 
 def compact(entries: DataFrame, safe: DataFrame) -> DataFrame:
     """Entries past the safe number; all of them where it is 0."""
     return entries.crossJoin(F.broadcast(safe)).filter("safe_seq = 0 or seq > safe_seq").select(*entries.columns)
+
+
+def compaction(clients: DataFrame, checkpoints: DataFrame, entries: DataFrame, as_of: int, stale_ms: int = 7 * 86_400_000, batch: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clients, entries, result) after a run: stale clients become inactive, then entries up to the safe number go.
+
+    ``result`` is one row: deactivated_clients, safe_seq, deleted_entries and batches, the number of deletions of at most ``batch`` entries,
+    lowest first, that a store which deletes row by row would take (a table is rewritten in one).
+    """
+    gone = deactivated(clients, as_of, stale_ms).withColumn("gone", F.lit(True))
+    names = ["user_id", "client_id"]
+    after = clients.join(gone, names, "left").withColumn("is_active", F.col("is_active") & F.col("gone").isNull()).select(*clients.columns)
+    safe = safe_seq(after, checkpoints, entries)
+    old = entries.crossJoin(F.broadcast(safe)).agg(F.count(F.when(F.col("seq") <= F.col("safe_seq"), 1)).alias("deleted_entries"))
+    result = gone.agg(F.count("*").alias("deactivated_clients")).crossJoin(F.broadcast(safe)).crossJoin(F.broadcast(old))
+    runs = F.when(F.col("safe_seq") > 0, F.floor(F.col("deleted_entries") / batch) + 1).otherwise(0).cast("long")
+    return after, compact(entries, safe), result.withColumn("batches", runs)

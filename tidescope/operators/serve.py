@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def change_records(entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Entries with their present row (table_name, record_id, row_json, row_version); an upsert without a row goes, a delete stays."""
+def change_records(entries: DataFrame, rows: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
+    """Entries with their present row (table_name, record_id, row_json, row_version, checksum).
+
+    An upsert whose row is gone is left out. A delete stays, and brings the row where it is still there: a client keeps such a
+    tombstone. ``keys``: the key column of each table, ``id`` for others; the key goes out as a JSON object.
+    """
     op = F.when(F.col("operation") == 3, "delete").otherwise("upsert")
     met = entries.join(rows, ["table_name", "record_id"], "left").filter("operation = 3 or row_json is not null")
     version = F.coalesce("row_version", F.col("seq").cast("string"))
-    return met.select("scope_id", "table_name", "record_id", op.alias("op"), "seq", F.when(F.col("operation") != 3, F.col("row_json")).alias("row_json"), version.alias("version"))
+    name = F.lit("id")
+    if keys:
+        name = F.coalesce(F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])[F.col("table_name")], name)
+    pk = F.to_json(F.create_map(name, F.col("record_id")))
+    own = [c for c in ("user_id", "client_id") if c in entries.columns]
+    return met.select(*own, "scope_id", "table_name", "record_id", pk.alias("pk"), op.alias("op"), "seq", "row_json", version.alias("version"), "checksum")
 
 
 def parse_page_cursor(cursor: str | None) -> tuple[str, str] | None:

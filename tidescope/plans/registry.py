@@ -51,7 +51,7 @@ def line_members(spark, sf):
     lines = read(spark, sf, "lineitem").select(line_id().alias("line"), "l_orderkey")
     orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, sf, "customer").select("c_custkey")
-    return scopes.chained(lines, F.col("line"), [(orders, "l_orderkey", "o_orderkey"), (customers, "o_custkey", "c_custkey")], scope_of_customer(F.col("c_custkey")))
+    return scopes.chained(lines, F.col("line"), [(orders, "l_orderkey", "o_orderkey"), (customers, "o_custkey", "c_custkey")], scope_of_customer(F.col("c_custkey")), unique=False)
 
 
 def order_edges(spark, sf):
@@ -102,7 +102,7 @@ def scope_resolve_chain2(spark, sf):
 @query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS record_id, 'role:' || role AS scope_id FROM conversations WHERE role <> ''")
 def scope_resolve_multi_member(spark, sf):
     turns = read(spark, sf, "conversations")
-    return scopes.owned(turns, F.col("conv_id"), F.concat(F.lit("role:"), "role"))
+    return scopes.owned(turns, F.col("conv_id"), F.concat(F.lit("role:"), "role"), unique=False)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS record_id, 'source:' || source AS scope_id FROM documents UNION SELECT CAST(doc_id AS VARCHAR), 'lang:' || lang FROM documents")
@@ -207,12 +207,12 @@ def changelog_append(spark, sf):
     return changelog.append(read(spark, sf, "events").select("event_id", "event_type"), ["event_id"], 1000)
 
 
-CURSORS = "cursors AS (SELECT DISTINCT 'user:' || CAST(user_id AS VARCHAR) AS scope_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 50 END AS checkpoint FROM events WHERE user_id % 2 = 0)"
+CURSORS = "cursors AS (SELECT DISTINCT 'user:' || CAST(user_id AS VARCHAR) AS scope_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 50 END AS checkpoint FROM events)"
 
 
 def cursors(spark, sf):
     u = F.col("user_id")
-    return read(spark, sf, "events").filter(u % 2 == 0).select(F.concat(F.lit("user:"), u.cast("string")).alias("scope_id"), F.when(u % 3 != 0, u % 50).alias("checkpoint")).distinct()
+    return read(spark, sf, "events").select(F.concat(F.lit("user:"), u.cast("string")).alias("scope_id"), F.when(u % 3 != 0, u % 50).alias("checkpoint")).distinct()
 
 
 PAGE = f"""WITH {LOG}, {CURSORS}, f AS (SELECT log.* FROM log JOIN cursors USING (scope_id) WHERE seq > coalesce(checkpoint, 0)),
@@ -236,12 +236,14 @@ def pull_effective_checkpoint(spark, sf):
 
 
 @query(f"""WITH {LOG}, k AS (SELECT table_name, record_id, max(seq) AS seq FROM log GROUP BY ALL), e AS (SELECT log.* FROM k JOIN log USING (table_name, record_id, seq))
-    SELECT e.scope_id, e.table_name, e.record_id, CASE WHEN operation = 3 THEN 'delete' ELSE 'upsert' END AS op, e.seq,
-        CASE WHEN operation <> 3 THEN p_name END AS row_json, coalesce(CAST(p_size AS VARCHAR), CAST(e.seq AS VARCHAR)) AS version
+    SELECT e.scope_id, e.table_name, e.record_id, '{{"p_partkey":"' || e.record_id || '"}}' AS pk, CASE WHEN operation = 3 THEN 'delete' ELSE 'upsert' END AS op, e.seq,
+        p_name AS row_json, coalesce(CAST(p_size AS VARCHAR), CAST(e.seq AS VARCHAR)) AS version, {SUM.format('p_partkey')} AS checksum
     FROM e LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = e.record_id WHERE operation = 3 OR p_name IS NOT NULL""")
 def pull_change_records(spark, sf):
-    rows = read(spark, sf, "part").select(F.lit("items").alias("table_name"), F.col("p_partkey").cast("string").alias("record_id"), F.col("p_name").alias("row_json"), F.col("p_size").cast("string").alias("row_version"))
-    return serve.change_records(changelog.dedup(change_log(spark, sf)), rows)
+    """Deletes bring their row where it is still there: as a tombstone."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf, "part").select(F.lit("items").alias("table_name"), k.cast("string").alias("record_id"), F.col("p_name").alias("row_json"), F.col("p_size").cast("string").alias("row_version"), surrogate(k.cast("long")).alias("checksum"))
+    return serve.change_records(changelog.dedup(change_log(spark, sf)), rows, {"items": "p_partkey"})
 
 
 @query(f"""WITH {LOG}, late AS (SELECT * FROM log WHERE seq > 20), c AS (SELECT DISTINCT 'user:' || CAST(user_id AS VARCHAR) AS scope_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 50 END AS checkpoint FROM events)
@@ -326,55 +328,58 @@ def scope_delta(spark, sf):
     return read(spark, sf, "customer").select(k.cast("string").alias("user_id"), F.array_join(add, ",").alias("added"), F.array_join(remove, ",").alias("removed"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS user_id, CASE WHEN c_custkey % 5 = 0 THEN 'user:x' ELSE 'user:x,new' END AS scopes FROM customer")
-def shared_scope_append(spark, sf):
-    k, held = F.col("c_custkey"), F.array(F.lit("user:x"))
-    return read(spark, sf, "customer").select(k.cast("string").alias("user_id"), F.array_join(F.when(k % 5 == 0, held).otherwise(F.array_append(held, "new")), ",").alias("scopes"))
-
-
-@query("SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'user:x' AS scopes FROM customer")
-def shared_scope_remove(spark, sf):
-    return read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.array_join(F.array_remove(F.array(F.lit("user:x"), F.lit("new")), "new"), ",").alias("scopes"))
-
-
 @query(f"WITH {EDGES} SELECT table_name, record_id, scope_id, checksum, CAST(row_number() OVER (PARTITION BY scope_id, table_name ORDER BY record_id) AS INTEGER) AS position FROM edges WHERE scope_id = 'global'")
 def seed_export(spark, sf):
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("scope_id", "table_name").orderBy("record_id"))
-    return all_edges(spark, sf).filter("scope_id = 'global'").select("*", place.alias("position"))
+    """Places of a scope's rows in its seed; no task sorts a whole scope."""
+    placed = changelog.append(all_edges(spark, sf).filter("scope_id = 'global'"), ["record_id"], 0, ["scope_id", "table_name"])
+    return placed.select("table_name", "record_id", "scope_id", "checksum", F.col("seq").cast("int").alias("position"))
 
 
 # --- writes ----------------------------------------------------------------------------------------------------------------
 
 DAYS = "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"
-MUT = f"""m AS (SELECT CAST(o_orderkey AS VARCHAR) AS mutation_id, CASE WHEN o_orderkey % 17 = 0 THEN 'nation' WHEN o_orderkey % 19 = 0 THEN 'nowhere' ELSE 'orders' END AS table_name, o_orderkey AS k,
-    CAST({DAYS} AS BIGINT) * 86400000 AS t FROM orders)"""
+MUT = f"""m AS (SELECT CAST(o_orderkey AS VARCHAR) AS mutation_id, o_orderkey AS k, CAST({DAYS} AS BIGINT) * 86400000 AS t,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'nation' WHEN o_orderkey % 19 = 0 THEN 'nowhere' WHEN o_orderkey % 13 = 0 THEN 'part' ELSE 'orders' END AS table_name FROM orders)"""
+LATER = 4_102_444_800_000
 
 
 def mutations(spark, sf):
+    """One mutation for every order. Some go to a read-only table, to one that isn't synced, or to one without deletion times and rows."""
     k = F.col("o_orderkey")
     t = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400000
     rows = read(spark, sf, "orders")
-    table = F.when(k % 17 == 0, "nation").when(k % 19 == 0, "nowhere").otherwise("orders")
+    table = F.when(k % 17 == 0, "nation").when(k % 19 == 0, "nowhere").when(k % 13 == 0, "part").otherwise("orders")
     op = F.element_at(F.array(F.lit("insert"), F.lit("update"), F.lit("delete"), F.lit("upsert")), (k % 4 + 1).cast("int"))
-    made = rows.select(k.cast("string").alias("mutation_id"), table.alias("table_name"), k.cast("string").alias("record_id"), op.alias("op"), (t + (k % 5 - 2) * 400).alias("client_time"), F.when(k % 3 == 0, t).when(k % 3 == 1, t - 1).alias("base"))
-    held = rows.filter(k % 6 != 0).select(F.lit("orders").alias("table_name"), k.cast("string").alias("record_id"), t.alias("updated"), (k % 9 == 0).alias("deleted"))
-    registry = spark.createDataFrame([("orders", "enabled"), ("nation", "read_only")], "table_name string, push_policy string")
+    named = F.when(k % 29 == 0, F.array().cast("array<string>")).when(k % 31 == 0, F.array(F.lit("name"))).otherwise(F.array(F.lit("name"), F.lit("note")))
+    made = rows.select(
+        k.cast("string").alias("mutation_id"), table.alias("table_name"), k.cast("string").alias("record_id"), op.alias("op"), F.when(k % 23 != 0, t + (k % 5 - 2) * 400).alias("client_time"),
+        F.when(k % 3 == 0, t).when(k % 3 == 1, t - 1).alias("base"), named.alias("columns"), named.alias("filled"),
+    )
+    held = rows.filter(k % 6 != 0).select(F.lit("orders").alias("table_name"), k.cast("string").alias("record_id"), F.when(k % 10 != 3, t).alias("updated"), (k % 9 == 0).alias("deleted"))
+    note = "array('note')"
+    registry = spark.sql(f"SELECT * FROM VALUES ('orders', 'enabled', true, {note}), ('nation', 'read_only', true, {note}), ('part', 'enabled', false, {note}) AS t(table_name, push_policy, has_deleted, required)")
     return made, held, registry
 
 
-@query(f"""WITH {MUT}, x AS (SELECT *, k % 6 <> 0 AND table_name = 'orders' AS here, k % 9 = 0 AS deleted,
-        CASE k % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE CASE WHEN k % 6 <> 0 AND table_name = 'orders' THEN 'update' ELSE 'insert' END END AS op,
-        (k % 5 - 2) * 400 + 500 > 0 AS newer FROM m),
-    y AS (SELECT mutation_id, table_name, mutation_id AS record_id, op, here, deleted, newer, k, CASE WHEN table_name = 'nowhere' THEN 'table_not_synced' WHEN table_name = 'nation' THEN 'policy_rejected'
-        WHEN op = 'insert' AND here AND NOT deleted THEN 'version_conflict' WHEN op = 'insert' AND here THEN 'resurrected' WHEN op = 'insert' THEN 'inserted' WHEN NOT here THEN 'record_not_found'
-        WHEN op = 'delete' AND deleted THEN 'already_deleted' WHEN op = 'update' AND deleted THEN 'version_conflict'
-        WHEN k % 3 <> 0 AND NOT newer THEN 'version_conflict' WHEN op = 'delete' THEN 'deleted' ELSE 'updated' END AS code FROM x)
-    SELECT mutation_id, table_name, record_id, op, CASE WHEN code IN ('inserted', 'resurrected', 'updated', 'deleted', 'already_deleted') THEN 'applied' WHEN code = 'version_conflict' THEN 'conflict' ELSE 'rejected_terminal' END AS status, code,
-        CASE WHEN code = 'version_conflict' AND op <> 'insert' AND NOT deleted THEN 'server version is newer' END AS reason FROM y""")
+@query(f"""WITH {MUT}, x AS (SELECT *, k % 6 <> 0 AND table_name = 'orders' AS here, k % 9 = 0 AS gone, k % 29 = 0 AS bare, k % 31 = 0 AS lacking,
+        CASE WHEN k % 23 = 0 THEN {LATER} ELSE t + (k % 5 - 2) * 400 END AS ct FROM m),
+    y AS (SELECT *, CASE k % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE CASE WHEN here THEN 'update' ELSE 'insert' END END AS op,
+        here AND k % 10 <> 3 AND k % 3 <> 0 AND ct + 500 <= t AS late FROM x),
+    z AS (SELECT *, CASE WHEN table_name = 'nowhere' THEN 'table is not synced' WHEN table_name = 'nation' THEN 'table is read only'
+        WHEN op = 'insert' AND here AND NOT gone THEN 'record already exists' WHEN op = 'insert' AND here AND late THEN 'server version is newer' WHEN op = 'insert' AND here THEN '+resurrect'
+        WHEN op = 'insert' AND bare THEN 'no allowed columns for insert' WHEN op = 'insert' AND lacking THEN 'missing required column note' WHEN op = 'insert' THEN '+insert'
+        WHEN op = 'update' AND NOT here THEN 'record does not exist' WHEN op = 'update' AND gone THEN 'record has been deleted' WHEN op = 'update' AND late THEN 'server version is newer'
+        WHEN op = 'update' AND bare THEN '+keep' WHEN op = 'update' THEN '+update'
+        WHEN table_name = 'part' THEN '+remove' WHEN NOT here THEN 'record does not exist' WHEN gone THEN '+keep' ELSE '+delete' END AS said FROM y)
+    SELECT mutation_id, table_name, mutation_id AS record_id, op,
+        CASE WHEN said LIKE '+%' THEN 'applied' WHEN said IN ('record already exists', 'server version is newer', 'record has been deleted') THEN 'conflict' ELSE 'rejected_terminal' END AS status,
+        CASE WHEN said LIKE '+%' THEN NULL WHEN table_name = 'nowhere' THEN 'table_not_synced' WHEN table_name = 'nation' THEN 'policy_rejected'
+            WHEN said IN ('record already exists', 'server version is newer', 'record has been deleted') THEN 'version_conflict' ELSE 'validation_failed' END AS code,
+        CASE WHEN said NOT LIKE '+%' THEN said END AS message, CASE WHEN said LIKE '+%' THEN substr(said, 2) END AS action FROM z""")
 def push_classify(spark, sf):
-    return writes.resolve(*mutations(spark, sf))
+    made, held, registry = mutations(spark, sf)
+    found = writes.resolve(made, held, registry, F.lit(LATER))
+    return found.select("mutation_id", "table_name", "record_id", "op", "status", "code", "message", "action")
 
 
 for _op in ("insert", "update", "delete"):
@@ -420,11 +425,11 @@ def schema_diff(spark, sf):
     return registry.schema_changes(spark.createDataFrame(local, kinds), spark.createDataFrame(server, kinds))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'held' END AS row_json FROM orders WHERE o_orderkey % 6 <> 0 AND o_orderkey % 3 <> 1""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'held' END AS row_json FROM orders WHERE o_orderkey % 3 <> 1""")
 def apply_page(spark, sf):
-    """A client holds every order that is no multiple of 6; the page updates even ones, deletes those with remainder 1 of 3."""
+    """A client holds every order; the page updates even ones, deletes those with remainder 1 of 3."""
     k = F.col("o_orderkey")
-    orders = read(spark, sf, "orders").filter(k % 6 != 0).select(k, "o_orderpriority")
+    orders = read(spark, sf, "orders").select(k, "o_orderpriority")
     name, record = F.lit("orders").alias("table_name"), k.cast("string").alias("record_id")
     rows = orders.select(name, record, F.lit("held").alias("row_json"), F.lit(1).cast("long").alias("version"))
     held = orders.select(F.lit("s").alias("scope_id"), name, record, F.lit(7).alias("checksum"), F.lit(0).alias("generation"))
@@ -437,12 +442,14 @@ def apply_page(spark, sf):
     return client.apply_changes(rows, held, scope, page)[0].select("record_id", "row_json")
 
 
-@query(f"""WITH {MUT} SELECT mutation_id, CASE WHEN k % 3 = 0 THEN 'client' WHEN (k % 5 - 2) * 400 + 500 > 0 THEN 'client' ELSE 'server' END AS winner,
-    CASE WHEN k % 3 = 0 THEN 'server unchanged since base version' WHEN (k % 5 - 2) * 400 + 500 > 0 THEN CASE WHEN k % 3 = 1 THEN 'client timestamp newer (LWW with base)' ELSE 'client timestamp newer (LWW)' END ELSE 'server version is newer' END AS reason FROM m""")
+@query(f"""WITH {MUT}, x AS (SELECT *, k % 23 = 0 OR (k % 5 - 2) * 400 + 500 > 0 AS newer FROM m)
+    SELECT mutation_id, CASE WHEN k % 3 = 0 OR newer THEN 'client' ELSE 'server' END AS winner,
+    CASE WHEN k % 3 = 0 THEN 'server unchanged since base version' WHEN NOT newer THEN 'server version is newer' WHEN k % 3 = 1 THEN 'client timestamp newer (LWW with base)' ELSE 'client timestamp newer (LWW)' END AS reason FROM x""")
 def push_lww(spark, sf):
     made, _, _ = mutations(spark, sf)
     k = F.col("mutation_id").cast("long")
-    winner, reason = rules.last_write(F.col("client_time"), F.col("client_time") - (k % 5 - 2) * 400, F.col("base"))
+    t = F.coalesce(F.col("client_time") - (k % 5 - 2) * 400, F.lit(0))
+    winner, reason = rules.last_write(F.col("client_time"), t, F.when(k % 3 == 0, t).when(k % 3 == 1, t - 1), now=F.lit(LATER))
     return made.select("mutation_id", winner.alias("winner"), reason.alias("reason"))
 
 
@@ -464,21 +471,31 @@ def wal_soft_delete_decode(spark, sf):
     return decode(raw).select("record_id", "operation")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(event_id % 200 AS VARCHAR) AS record_id, event_id AS moment, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS kind,
+        CASE WHEN event_id % 7 <> 0 THEN event_id END AS old, row_number() OVER (PARTITION BY event_id % 200 ORDER BY event_id) AS n FROM events),
+    f AS (SELECT record_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS BIGINT) AS base, CAST(NULL AS BIGINT) AS moment FROM e WHERE e.n = 1
+        UNION ALL SELECT record_id, n, CASE WHEN gone THEN NULL ELSE op END, CASE WHEN gone THEN NULL ELSE base END, moment FROM (
+            SELECT *, op IS NULL OR (kind <> 'insert' AND op = 'delete' AND base IS NULL) AS gone FROM (
+                SELECT f.record_id, e.n, e.kind, e.moment,
+                    CASE WHEN f.op IS NULL THEN CASE e.kind WHEN 'insert' THEN 'create' ELSE e.kind END
+                        WHEN f.op = 'create' THEN CASE e.kind WHEN 'delete' THEN NULL ELSE 'create' END
+                        WHEN f.op = 'update' THEN CASE e.kind WHEN 'delete' THEN 'delete' ELSE 'update' END
+                        ELSE CASE e.kind WHEN 'delete' THEN 'delete' ELSE 'update' END END AS op,
+                    CASE WHEN f.op IS NULL THEN CASE WHEN e.kind <> 'insert' THEN e.old END WHEN e.kind = 'insert' THEN f.base ELSE coalesce(f.base, e.old) END AS base
+                FROM f JOIN e ON e.record_id = f.record_id AND e.n = f.n + 1)))
+    SELECT 'items' AS table_name, record_id, op AS operation, base AS base_version, moment AS client_version FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY n DESC) AS last FROM f) WHERE last = 1 AND op IS NOT NULL""")
 def cdc_fold(spark, sf):
-    """A sequential fold: tested against the state table."""
+    """The queue after all events as local edits; every seventh has no old version."""
+    e = F.col("event_id")
     kind = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
-    local = read(spark, sf, "events").filter(F.col("event_type") != "click").select(F.lit("items").alias("table_name"), (F.col("event_id") % 200).cast("string").alias("record_id"), F.col("event_id").alias("position"), kind.alias("kind"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("old_version"), F.col("event_id").alias("at"))
-    legal = local.filter("kind <> 'delete' or position % 2 = 0")
-    return writes.fold_local(legal)
+    local = read(spark, sf, "events").select(F.lit("items").alias("table_name"), (e % 200).cast("string").alias("record_id"), e.alias("position"), kind.alias("kind"), F.when(e % 7 != 0, e).alias("old_version"), e.alias("at"))
+    return writes.fold_local(local)
 
 
 @query("SELECT mutation_id, rank FROM (SELECT CAST(event_id AS VARCHAR) AS mutation_id, CAST(row_number() OVER (ORDER BY value, event_id) AS INTEGER) AS rank FROM events) WHERE rank <= 100")
 def pending_top_n(spark, sf):
-    from pyspark.sql.window import Window
-
-    top = read(spark, sf, "events").select("event_id", "value").orderBy("value", "event_id").limit(100)
-    return top.select(F.col("event_id").cast("string").alias("mutation_id"), F.row_number().over(Window.orderBy("value", "event_id")).alias("rank"))
+    queue = read(spark, sf, "events").select(F.lit("items").alias("table_name"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("record_id"), F.col("value").alias("client_version"), F.col("event_id").cast("string").alias("mutation_id"))
+    return writes.pending(queue, 100).select("mutation_id", "rank")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS record_id, o_orderkey % 10 AS version FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 7 < o_orderkey % 10")
@@ -527,8 +544,14 @@ def rejected_upsert(spark, sf):
 
 # --- scalars ----------------------------------------------------------------------------------------------------------------
 
-KINDS = ["text", "NUMERIC(10,2)", "integer[]", "int4range", "varchar(20)", "bigint", "timestamptz", "bytea", "jsonb", "time with time zone", "double precision", "uuid"]
-KIND_ROWS = ", ".join(f"({i}, '{k}', {repr(types.portable(k)) if types.portable(k) else 'NULL'})" for i, k in enumerate(KINDS))
+#: Type names and their portable types, written out from the contract's rules.
+KIND_PAIRS = [
+    ("text", "string"), ("NUMERIC(10,2)", "float"), ("integer[]", "json"), ("int4range", "string"), ("varchar(20)", "string"), ("bigint", "int64"), ("timestamptz", None), ("bytea", "bytes"),
+    ("jsonb", "json"), ("time with time zone", None), ("double precision", "float"), ("uuid", "string"), ("float64", "float"), ("char", None), ("char(3)", None), ("character(3)", "string"),
+    ("character varying", "string"), (" Timestamp with time zone ", "datetime"), ("bool", "boolean"), ("int32", "int"), ("date", "date"), ("time", "time"), ("money", None),
+]
+KINDS = [name for name, _ in KIND_PAIRS]
+KIND_ROWS = ", ".join(f"({i}, '{k}', {repr(p) if p else 'NULL'})" for i, (k, p) in enumerate(KIND_PAIRS))
 
 
 @query(f"SELECT CAST(p_partkey AS VARCHAR) AS record_id, k.name, k.portable FROM part JOIN (VALUES {KIND_ROWS}) k(i, name, portable) ON p_partkey % {len(KINDS)} = k.i")
@@ -544,7 +567,9 @@ def semver_gate(spark, sf):
     return read(spark, sf, "part").select(k.cast("string").alias("record_id"), (rules.version_parts(version) >= rules.version_parts(F.lit("10.2.0"))).alias("allowed"))
 
 
-ERROR_ROWS = ", ".join(f"({i}, '{c}', {s}, {str(r).lower()})" for i, (c, (s, r)) in enumerate(rules.ERRORS.items()))
+#: Codes with their status and whether a retry helps, written out from the protocol.
+ERROR_ROWS = """(0, 'invalid_request', 400, false), (1, 'auth_required', 401, false), (2, 'upgrade_required', 426, false), (3, 'schema_mismatch', 422, false),
+    (4, 'table_not_synced', 400, false), (5, 'retry_later', 503, true), (6, 'temporary_unavailable', 503, true), (7, 'sync_error', 500, true)"""
 
 
 @query(f"SELECT event_id, e.code, e.status, e.retryable FROM events JOIN (VALUES {ERROR_ROWS}) e(i, code, status, retryable) ON event_id % {len(rules.ERRORS)} = e.i")
@@ -561,9 +586,15 @@ def deterministic_ids(spark, sf):
     return read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), deterministic_uuid("customer", F.col("c_custkey")).alias("uuid"))
 
 
-@query()
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(f"""SELECT table_name, CAST(column_index AS INTEGER) - 1 AS position, column_name, is_nullable AS nullable,
+    CASE WHEN data_type LIKE '%[]' THEN 'json' WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER') THEN 'int' WHEN data_type = 'BIGINT' THEN 'int64' WHEN data_type = 'BOOLEAN' THEN 'boolean'
+        WHEN data_type IN ('FLOAT', 'DOUBLE') OR data_type LIKE 'DECIMAL%' THEN 'float' WHEN data_type = 'DATE' THEN 'date' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' WHEN data_type = 'BLOB' THEN 'bytes' ELSE 'string' END AS portable_type
+    FROM duckdb_columns() WHERE table_name IN {TABLES}""")
 def manifest_columns(spark, sf):
-    rows = serve.manifest({n: read(spark, sf, n) for n in ("region", "nation", "customer", "orders", "lineitem", "events")})
+    rows = serve.manifest({n: read(spark, sf, n) for n in TABLES})
     return spark.createDataFrame([tuple(r.values()) for r in rows], "table_name string, position int, column_name string, portable_type string, nullable boolean")
 
 
