@@ -32,3 +32,37 @@ def test_no_copy_is_lost_in_a_space_with_fewer_axes_than_passages(spark):
         if share >= 0.8:
             want[i, i] = share
     assert len(want) > 250 and want.items() <= found.items()
+
+
+def test_short_items_and_answers(spark):
+    long_item = " ".join(f"q{i}" for i in range(105))
+    part = " ".join(f"q{i}" if i % 3 else f"x{i}" for i in range(96))  # two thirds of the first passage
+    bench = spark.createDataFrame([(1, "the sky is blue today friend ok", None), (2, long_item, "completely different reply here"), (3, "yes", "certainly not")], "item_id long, text string, answer string")
+    rows = [(1, "we said: The sky is blue today, friend. OK? and went"), (2, "the sky is blue today my friend ok"), (3, part), (4, part + " so completely different reply here"), (5, "yes but no"), (6, "yes that is certainly not so")]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == {(1, 1), (4, 2), (6, 3)}
+    tail = spark.createDataFrame([(7, "lead " * 20 + long_item + " end" * 20)], "doc_id long, text string")
+    assert [(r["item_id"], r["lcs"]) for r in decontaminate.leaks(tail, bench).collect()] == [(2, 1.0)]
+
+
+def test_paraphrases_against_a_full_scan(spark):
+    """Edited copies with their answer, sixty to eighty per cent in order: what a scan of every place finds, the windows find too."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, draw.sample(words, n), draw.sample(words, 5)) for i, n in enumerate(draw.choices((12, 20, 30, 45, 60, 90), k=120))]
+    docs = []
+    for i, passage, answer in items:
+        copy = [w if draw.random() > draw.choice((0.2, 0.3, 0.4)) else draw.choice(words) for w in passage]
+        filler = [draw.choice(words) for _ in range(draw.randrange(0, 120))]
+        docs.append((i, filler + copy + (answer if draw.random() < 0.7 else []) + filler))
+    bench = spark.createDataFrame([(i, " ".join(p), " ".join(a)) for i, p, a in items], "item_id long, text string, answer string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"), bench).collect()}
+    want = set()
+    for (i, passage, answer), (_, text) in zip(items, docs, strict=True):
+        n = len(passage)
+        share = max(longest(passage, text[s : s + 2 * n]) / n for s in range(max(1, len(text) - n)))
+        told = max(longest(answer, text[s : s + 10]) / 5 for s in range(len(text)))
+        if share >= 0.8 or (share >= 0.6 and told >= 0.8):
+            want.add((i, i))
+    assert len(want) > 40 and len(want & found) >= 0.9 * len(want)
+    assert all(a == b for a, b in found)

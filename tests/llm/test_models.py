@@ -73,6 +73,38 @@ def test_decontamination_of_odd_rows(spark, odd, none):
 # --- licences ---------------------------------------------------------------------------------------------------------------
 
 
+def plain_windows(own, templates, threshold=0.8):
+    """Of the windows as long as a template that begin with a bigram of it, each that no better one overlaps (nor an equal one before it)."""
+    for i, (name, text) in enumerate(templates):
+        held = set(pairwise(license_scan.words(text)))
+        length = len(license_scan.words(text)) - 1
+        found = {}
+        for s in range(len(own) - 1):
+            if (own[s], own[s + 1]) in held:
+                grams = set(pairwise(own[s : s + length + 1]))
+                v = 2 * len(grams & held) / (len(grams) + len(held))
+                if v >= threshold:
+                    found[s] = v
+        for s, v in found.items():
+            if all((found[o], -o) < (v, -s) for o in found if o != s and abs(o - s) < length):
+                yield "window", hashlib.sha256(b" ".join(own[s : s + length + 1])).hexdigest(), name, i, round(v, 6)
+
+
+def test_licences_inside_lines_and_whole_texts_are_found(spark):
+    name, text = license_scan.TEMPLATES[14]
+    notice = license_scan.TEMPLATES[1][1]
+    pre = " ".join(f"p{i}" for i in range(70))
+    rows = [(1, f"{pre} {notice} {pre}"), (2, f"{pre}\n{text.upper()}\n\n{pre}"), (3, f"{pre} {text.replace('NO EVENT', 'NO CASE')} {pre}"), (4, pre), (5, f"{notice} {notice}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["kind"], r["unit_sha256"], r["license_id"], r["template"], round(r["dice"], 6)) for r in license_scan.scan(table).collect()}
+    windows = {(d, *w) for d, t in rows for w in plain_windows(license_scan.words(t), license_scan.TEMPLATES)}
+    assert {f for f in found if f[1] == "window"} == windows
+    assert {(d, n) for d, k, _, n, *_ in found if k == "window"} >= {(1, "Apache-2.0"), (2, name), (3, name), (5, "Apache-2.0")} and not any(f[0] == 4 for f in found)
+    own = license_scan.templates(spark.createDataFrame([("X", "alpha beta gamma delta epsilon"), ("Y", None), ("Z", "one")], "license_id string, text string"))
+    assert own == (("X", "alpha beta gamma delta epsilon"),)
+    assert {r["kind"] for r in license_scan.scan(spark.createDataFrame([(1, "so alpha beta gamma delta epsilon it is")], "doc_id long, text string"), rows=own).collect()} == {"window"}
+
+
 def test_licences_equal_brute_force(spark, odd, none):
     def dice(a, b):
         a, b = set(pairwise(license_scan.words(a))), set(pairwise(license_scan.words(b)))
@@ -85,6 +117,7 @@ def test_licences_equal_brute_force(spark, odd, none):
             for i, (name, text) in enumerate(license_scan.TEMPLATES):
                 if (v := dice(unit, text)) >= 0.8:
                     want.add((d, kind, hashlib.sha256(unit.encode()).hexdigest(), name, i, round(v, 6)))
+        want |= {(d, *found) for found in plain_windows(license_scan.words(t or ""), license_scan.TEMPLATES)}
     assert want and {tuple(r) for r in queries.op3_license_scan(spark, SF).collect()} == want
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
 

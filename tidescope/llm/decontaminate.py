@@ -1,20 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark texts are cut into passages of at most 96 words. TF-IDF weights use document frequencies counted over
+Benchmark texts are cut into passages of 96 words, a last one of under 8 going with the one before. TF-IDF weights use document frequencies counted over
 all documents; words in more than a tenth of them are left out of the space (unless a passage has no others). A distributed randomised SVD of the passages gives the latent space: each round is a Spark job over the
 passages that sums ``A^T (A W)`` by task. Every document is then slid over in windows of two to four times a
 passage's length, folded into the space, and compared by cosine with the passages of that length. The space has fewer axes than a
 block has passages, so a copy can lie far from its passage; every window therefore also has its words counted that a passage holds, and one that
 reaches the count without which no match is possible is checked as well, however far it is. Windows that come near are
 checked by the longest common subsequence of words: a passage counts as leaked with 80 % of its words in
-order, or as a paraphrase with 60 % of its words and 80 % of its answer (the ``answer`` column where the benchmark has
-one, else the passage's last sentence).
+order, or as a paraphrase with 60 % of its words and 80 % of the item's answer (the ``answer`` column where the benchmark has
+one, else the item's last sentence) in order in the window or within some window of twice the answer's length elsewhere in the document. Items
+of under 8 words are too short for that: they count as leaked where their words stand one after another, with their answer if the benchmark has any.
 
 The benchmark is a stated query set, taken in blocks of at most ``block_words`` words: what is broadcast is bounded by that,
 and every further block is one more pass. Words are lower-cased and parted by ASCII characters that are neither letters nor digits.
 
-Defined cases: null or empty texts on either side match nothing; passages under ``least_words`` words are not searched for;
-repeated documents and repeated items each get their own rows; a null doc_id is reported as null and never removed;
+Defined cases: null or empty texts on either side match nothing; repeated documents and repeated items each get their own rows; a null doc_id is reported as null and never removed;
 empty tables give an empty result. Extra columns are not read.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -36,7 +36,7 @@ from tidescope.llm.common import slices, text_key
 
 #: ASCII characters that are no letter or digit part words.
 PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
-STEP = 16
+STEP, LEAST = 16, 8
 #: So many passages have their words counted at a time.
 WIDE = 256
 FOUND = "doc_id long, th long, item_id long, cosine double, lcs double, answer_lcs double"
@@ -46,16 +46,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(PARTS).split()
 
 
-def passages(items: list[tuple], most: int = 96, least: int = 8) -> list[tuple[int, list[bytes], list[bytes]]]:
+def passages(items: list[tuple], most: int = 96, least: int = LEAST) -> list[tuple[int, list[bytes], list[bytes]]]:
     """(item_id, words, answer words) of every passage of (item_id, text, answer or None) rows."""
     out = []
     for item, text, answer in items:
         words = words_of(text)
         last = words_of(answer) or next((s for s in map(words_of, reversed(re.split(r"[.!?]\s", text or ""))) if s), [])
-        for at in range(0, max(1, len(words)), most):
-            part = words[at : at + most]
-            if len(part) >= least:
-                out.append((item, part, last if at + most >= len(words) else []))
+        starts = [at for at in range(0, len(words), most) if not at or len(words) - at >= least]
+        out += [(item, words[a:b], last) for a, b in zip(starts, [*starts[1:], len(words)])]  # noqa: B905
     return out
 
 
@@ -77,6 +75,21 @@ def common(where: dict[bytes, int], length: int, b: list[bytes]) -> int:
     return length - row.bit_count()
 
 
+def answered(where: dict[bytes, int], length: int, words: list[bytes]) -> float:
+    """The largest share of an answer (its places and length) that stands in order in a window of ``words`` of twice its length."""
+    size = max(2 * length, 32)
+    return max((common(where, length, words[a : a + size]) / length for a in range(0, max(1, len(words) - size // 2), size // 2)), default=0.0)
+
+
+def verbatim(short: list[tuple[int, list[bytes], list[bytes]]], count: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
+    """For the rarest word of each short passage the passages that it is looked up for, and its place in them."""
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for k, (_, words, _) in enumerate(short):
+        at = min(range(len(words)), key=lambda i: (count[words[i]], i))
+        out.setdefault(words[at], []).append((k, at))
+    return out
+
+
 def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """In how many documents each word of ``vocabulary`` occurs, and the number of documents."""
     held, n = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
@@ -93,6 +106,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count)), pa.array(count[count > 0])], names=["word", "n"])
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n")).collect()
+    held.unpersist()
     count = np.zeros(n + 1, np.int64)
     for w, k in rows:  # one row for each word of the block
         count[w] = k
@@ -141,6 +155,11 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
     spark = docs.sparkSession
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, p, _ in block for w in p}))}
     count, total = frequencies(docs, vocabulary)
+    short = [p for p in block if len(p[1]) < LEAST]
+    anchors = verbatim(short, {w: int(count[i]) for w, i in vocabulary.items()})
+    block = [p for p in block if len(p[1]) >= LEAST]
+    if not block:
+        return docs.select(F.col("doc_id").cast("long"), text_key().alias("th"), F.col("text").cast("string")).mapInArrow(exact(short, anchors), FOUND)
     idf = np.log((1 + total) / (1 + count)) + 1e-3
     words = [[vocabulary[w] for w in part] for _, part, _ in block]
     rare = count <= stop_share * total
@@ -170,6 +189,7 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
     token = np.zeros((len(used), axes.shape[1]), np.float32)
     token[[row[i] for i in sorted(kept)]] = axes * idf[:, None]
     held = spark.sparkContext.broadcast((looked, token, folded, block, lists, np.array(needs)))
+    copies = exact(short, anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, token, folded, block, lists, needs = held.value
@@ -180,6 +200,7 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
         sizes = [(k, at, folded[at].T.copy(), [holders(lists, at[c : c + WIDE], len(vocabulary)) for c in range(0, len(at), WIDE)]) for k, at in sizes if len(at)]
         get = vocabulary.get
         for batch in slices(batches, limit=1 << 20):
+            yield from copies([batch])
             split = [words_of(t) for t in batch.column("text").to_pylist()]
             n = np.fromiter(map(len, split), np.int64, len(split))
             steps = -(-n // STEP)
@@ -224,7 +245,9 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
                         share = common(where, length, region) / length
                         if share < paraphrase:
                             continue
-                        told = common(told_where, told_length, region) / told_length if told_length else 1.0
+                        told = common(told_where, told_length, region) / told_length
+                        if share < leaked and told < 0.8:
+                            told = answered(told_where, told_length, split[d])
                         if share >= leaked or told >= 0.8:
                             best[d, p] = max(best.get((d, p), (0.0, 0.0, 0.0)), (share, float(cosine[r, k]), told))
             if best:
@@ -238,6 +261,34 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
     return docs.select(F.col("doc_id").cast("long"), text_key().alias("th"), F.col("text").cast("string")).mapInArrow(run, FOUND)
 
 
+def exact(short: list[tuple[int, list[bytes], list[bytes]]], anchors: dict[bytes, list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Finds short passages word for word; what it holds is bounded by the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = [(positions(a), len(a)) for _, _, a in short]
+        for batch in batches if short else ():
+            rows: list[tuple] = []
+            for d, text in enumerate(batch.column("text").to_pylist()):
+                words, seen = words_of(text), set()
+                for p, w in enumerate(words):
+                    for k, at in anchors.get(w, ()):
+                        item, own, _ = short[k]
+                        if k not in seen and p >= at and words[p - at : p - at + len(own)] == own:
+                            seen.add(k)
+                            share = answered(*told[k], words)
+                            if share >= 0.8:
+                                rows.append((d, item, share))
+            if rows:
+                at = pa.array([d for d, _, _ in rows])
+                ones = pa.array([1.0] * len(rows), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array([i for _, i, _ in rows], pa.int64()), ones, ones, pa.array([s for _, _, s in rows], pa.float64())],
+                    names=["doc_id", "th", "item_id", "cosine", "lcs", "answer_lcs"],
+                )
+
+    return run
+
+
 def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes], list[bytes]]]]:
     """The benchmark's passages, at most ``block_words`` words at a time; rows come to the driver partition by partition."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")

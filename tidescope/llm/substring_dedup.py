@@ -14,8 +14,8 @@ through these steps:
    their windows around the anchor are compared word for word by a 128-bit digest of the bytes;
 4. words under repeated windows go; contexts not known before become a new run, and runs are merged when they are many.
 
-Counts are pre-aggregated by key and joins carry single rows, so a passage in a third of all documents is one context with one
-owner. No owner, candidate or window is capped; the result is exact.
+Counts are pre-aggregated by key, so a passage in a third of all documents is one context with one owner, and a context that more than a
+thousandth of all anchors have meets them by broadcast. No owner, candidate or window is capped; the result is exact.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: null and empty texts have no words; under 50 words nothing is removed; a
 null doc_id is neither an owner nor loses words; rows that repeat a doc_id don't remove each other's words; an empty table gives an
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidescope.llm.common import cut, drop_table, shared_dir, slices
+from tidescope.llm.common import cut, drop_table, join_hot, shared_dir, slices
 
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words on either side of an anchor that its windows cover
@@ -227,13 +227,14 @@ def process(batch: DataFrame, corpus: DataFrame, index: Index) -> DataFrame:
     spark, base = batch.sparkSession, shared_dir(batch.sparkSession)
     sketch = cut(sketches(batch), f"{base}/sketches")
     each = sketch.filter("doc_id is not null").select("doc_id", "th", F.explode("anchors").alias("a")).select("doc_id", "th", "a.place", "a.h", "a.ctx")
-    own = cut(each.groupBy("h", "ctx").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), f"{base}/own")
+    own = cut(each.groupBy("h", "ctx").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")), f"{base}/own")
     past = cut(index.matches(own.select("h").distinct()), f"{base}/past") if index.runs else index.matches(own)
-    met = own.select("h", "ctx", "doc_id", "last").union(past.select("h", "ctx", "doc_id", F.col("doc_id").alias("last")))
-    met = met.groupBy("h", "ctx").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last"))
-    shared = met.filter("owner < last").select("h", "ctx", "owner")
+    met = own.select("h", "ctx", "doc_id", "last", "n").union(past.select("h", "ctx", "doc_id", F.col("doc_id").alias("last"), F.lit(0).cast("long")))
+    met = met.groupBy("h", "ctx").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    shared = met.filter("owner < last and n > 0").select("h", "ctx", "owner", "n")
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     several = met.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    covered = each.join(shared, ["h", "ctx"]).filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("th", "place")).alias("covered"))
+    covered = join_hot(each, shared, ["h", "ctx"], "n", total).filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("th", "place")).alias("covered"))
     owners = met.join(several, "h", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("h", "ctx")).alias("wanted"))
     needs = covered.join(owners, "doc_id", "full")
     store = cut(keyed(corpus).join(needs, "doc_id"), f"{base}/store")
