@@ -106,6 +106,27 @@ class Registry:
             parts.append(edges(name, alive, sums))
         return reduce(DataFrame.union, parts)
 
+    def live_ids(self, name: str) -> DataFrame:
+        """(record_id) of the table's live rows in order of the key."""
+        pk = self.tables[name].pk
+        return self.live(name).orderBy(pk).select(F.col(pk).cast("string").alias("record_id"))
+
+    def counters(self, names: Iterable[str] | None = None) -> DataFrame:
+        """One row about a backfill of the given tables: tables, records and edges."""
+        made = self.backfill(names)
+        return made.agg(F.countDistinct("table_name").alias("tables"), F.countDistinct("table_name", "record_id").alias("records"), F.count("*").alias("edges"))
+
+    def listing(self) -> DataFrame:
+        """A row for each synced table by name: key, times, push policy and synced columns."""
+        kinds = "table_name string, pk string, updated_at string, deleted_at string, push_policy string, columns array<string>"
+        return self.spark.createDataFrame([(t.name, t.pk, t.updated_at, t.deleted_at, t.push_policy, list(t.columns)) for _, t in sorted(self.tables.items())], kinds)
+
+    def indexes(self, given: DataFrame) -> DataFrame:
+        """Of ``given`` indexes (table_name, index_name, columns, is_primary) those that clients get: not primary, and on synced columns alone."""
+        own = self.listing().select("table_name", F.col("columns").alias("_synced"))
+        met = given.join(own, "table_name").filter(~F.col("is_primary") & (F.size(F.array_except("columns", "_synced")) == 0))
+        return met.select("table_name", "index_name", "columns").orderBy("table_name", "index_name")
+
     def required_on_insert(self, name: str) -> list[str]:
         """Synced columns without a null or a default that a client must give."""
         t = self.tables[name]

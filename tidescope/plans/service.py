@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidescope.functions import rules
 from tidescope.operators import changelog, scopes, seed, server
 from tidescope.plans.registry import EDGES, LOG, SUM, all_edges, clients, query, read
-from tidescope.sources import change_log, surrogate
+from tidescope.sources import change_log, pgoutput, surrogate
 
 LISTED = """listed AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'c' || CAST(c_custkey AS VARCHAR) AS client_id, ['user:' || CAST(c_custkey AS VARCHAR)] || CASE WHEN c_custkey % 2 = 0 THEN ['global', 'old'] ELSE [] END AS scopes,
     c_custkey % 5 <> 0 AS is_active FROM customer)"""
@@ -295,3 +296,32 @@ def absent_is_not_null(spark, sf):
     return read(spark, sf, "events").select(e.alias("key"), values["a"].alias("plain"), F.map_contains_key(values, "a").alias("has"))
 
 
+
+
+@query("""SELECT event_id AS position, 'items' AS table_name, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS kind, CAST(event_id AS VARCHAR) AS record_id,
+    CASE WHEN event_type NOT IN ('signup', 'error') AND event_id % 10 = 0 THEN 'x' END AS deleted_at, CASE WHEN event_type <> 'error' AND event_id % 4 <> 1 THEN event_type END AS note, event_type = 'error' OR event_id % 4 <> 1 AS sent
+    FROM events WHERE event_id % 9 <> 0""")
+def wal_binary_decode(spark, sf):
+    """Events as binary replication messages and back; a ninth belongs to a table that isn't synced, and of a quarter an unchanged value isn't sent."""
+    e = F.col("event_id")
+    number = lambda n, width: F.unhex(F.lpad(F.hex(n), width, "0"))
+    cell = lambda v: F.concat(F.encode(F.lit("t"), "utf-8"), number(F.octet_length(v), 8), F.encode(v, "utf-8"))
+    mark = lambda c: F.encode(F.lit(c), "utf-8")
+    kind = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
+    gone = F.when((kind == "U") & (e % 10 == 0), cell(F.lit("x"))).otherwise(mark("n"))
+    note = F.when(kind == "D", mark("n")).when(e % 4 == 1, mark("u")).otherwise(cell(F.col("event_type")))
+    body = F.concat(number(F.lit(3), 4), cell(e.cast("string")), note, gone)
+    message = F.concat(F.encode(kind, "utf-8"), number(F.when(e % 9 == 0, 8).otherwise(7), 8), F.when(kind == "D", mark("K")).otherwise(mark("N")), body)
+    columns = F.array(*map(F.lit, ("id", "note", "deleted_at")))
+    known = spark.createDataFrame([(7, "items"), (8, "others")], "relation long, table_name string").select("*", columns.alias("columns"), F.array(F.lit("id")).alias("keys"))
+    synced = spark.sql("SELECT 'items' AS table_name, 'id' AS pk, 'deleted_at' AS deleted_at")
+    found = pgoutput.decode(read(spark, sf, "events").select(e.alias("position"), message.alias("message")), known, synced)
+    return found.select("position", "table_name", "kind", "record_id", "deleted_at", F.col("data")["note"].alias("note"), F.map_contains_key("data", "note").alias("sent"))
+
+
+@query("""SELECT event_id AS key, CASE WHEN event_id % 3 = 0 THEN 'server' WHEN event_id % 3 = 1 THEN 'client' ELSE 'server' END AS winner FROM events""")
+def server_wins_rule(spark, sf):
+    """Two tables under the last-write rule and one where the server always wins."""
+    e = F.col("event_id")
+    last = rules.last_write(F.lit(1000), F.when(e % 3 == 1, 1200).otherwise(2000), F.lit(None).cast("long"))[0]
+    return read(spark, sf, "events").select(e.alias("key"), F.when(e % 3 == 0, rules.server_wins()[0]).otherwise(last).alias("winner"))
