@@ -89,6 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # an idle worker gives back what its last batches took
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -215,6 +215,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             values = pa.array(np.frombuffer(b"".join(b or b"" for b in found), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([b is None for b in found] + [False])), values)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
+        own.known, own.before = {}, {}  # a worker that waits for its next task, of whatever stage, holds no words
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -232,5 +233,6 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 texts = own.decode(np.asarray(lists.flatten()).astype(np.int64), np.cumsum(lengths))
                 texts = pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, texts], names=["doc_id", "ids", "text"])
+        pa.default_memory_pool().release_unused()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
