@@ -273,3 +273,26 @@ def test_chains_of_fingerprints_become_one_component(spark):
         own[find(own, a)] = find(own, b)
     parts = lambda r: {frozenset(q for q in prints if find(r, q) == find(r, p)) for p in prints}
     assert parts(own) == parts(root)
+
+
+def test_substrings_equal_their_sql(spark):
+    found = queries.op7_incremental_substring_dedup(spark, SF)
+    names, want = expected(queries.ORACLE_SQL["op7_incremental_substring_dedup"], "sf0.001")
+    assert sorted(found.columns) == names
+    assert rows_of(found.columns, found.collect()) == want
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a {passage}"), (2, "other words"), (3, f"b {passage} c"), (4, passage)], "doc_id long, text string")
+    folder = str(tmp_path / "index")
+    first = substring_dedup.process(docs.filter("doc_id <= 2"), docs.filter("doc_id <= 2"), substring_dedup.Index(spark, 1, folder))
+    assert sorted((r["doc_id"], r["n_removed"]) for r in first.collect()) == [(1, 0), (2, 0)]
+    again = substring_dedup.Index(spark, 1, folder)
+    assert len(again.runs) == 1
+    second = substring_dedup.process(docs.filter("doc_id = 3"), docs.filter("doc_id <= 3"), again)  # two runs are merged into one
+    assert [(r["doc_id"], r["n_removed"]) for r in second.collect()] == [(3, 60)]
+    third = substring_dedup.Index(spark, 1, folder)
+    assert len(third.runs) == 1 and third.version > again.version - 1
+    last = substring_dedup.process(docs.filter("doc_id = 4"), docs, third)
+    assert [(r["doc_id"], r["n_removed"]) for r in last.collect()] == [(4, 60)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,28 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees, under ``spark.checkpoint.dir``.
-
-    A local session without that setting (tests) gets a temporary one of its own; on a cluster it must be set, for
-    executors don't see each other's temporary folders.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="tidescope-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidescope-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidescope.functions.storage import cut, shared_dir
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -41,6 +18,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 #: Where the public tokenizer's model lies on every machine, unless the caller names another.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 

@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidescope.llm.common import cut, join_hot, shared_dir
+from tidescope.llm.common import cut, join_hot, path_exists, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State on disk; many small stores must not each set space aside beforehand, and those of an executor share one bound of memory.
@@ -78,18 +78,13 @@ def retain(spark: SparkSession, source: str, schema, state: str, files_per_trigg
     )
     query.awaitTermination()
     kinds = "digest string, retained struct<doc_id:bigint,locator:string>, group_size bigint, batch int"
-    changes = spark.read.schema(kinds).parquet(changed) if _exists(spark, changed) else spark.createDataFrame([], kinds)
+    changes = spark.read.schema(kinds).parquet(changed) if path_exists(spark, changed) else spark.createDataFrame([], kinds)
     # both only ever grow, so the largest is the last
     return changes.groupBy("digest").agg(F.max("retained").alias("r"), F.max("group_size").alias("group_size")).select(
         "digest", F.col("r.doc_id").alias("keep_id"), F.col("r.locator").alias("locator"), "group_size"
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def dedup(docs: DataFrame, hex_digits: int = 64, files_per_trigger: int = 64, folder: str | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, digest, locator (of the row that stays).
 

@@ -55,7 +55,7 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_incremental_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicate(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return substring_dedup.deduplicate(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,16 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_incremental_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s, w FROM d WHERE len(w) >= 50),
+        h AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + 49], ' ')) AS h FROM s),
+        o AS (SELECT h, min(doc_id) AS owner FROM h GROUP BY h),
+        g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM (SELECT doc_id, s FROM h JOIN o USING (h) WHERE owner < doc_id)),
+        k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        r AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.i) AS kept, count(*) AS n FROM k ANTI JOIN g ON k.doc_id = g.doc_id AND k.i = g.i GROUP BY k.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+    """,
     "op4_streaming_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -34,7 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidescope.llm.common import cut, drop_table, join_hot, shared_dir, slices
+from tidescope.llm.common import (
+    cut,
+    drop_table,
+    join_hot,
+    path_exists,
+    shared_dir,
+    slices,
+)
 
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words on either side of an anchor that its windows cover
@@ -128,19 +135,40 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Sorted immutable runs of (h, ctx, doc_id), bucketed by h. ``fanout``: runs that are merged into one."""
+    """Sorted immutable runs of (h, ctx, doc_id), bucketed by h. ``fanout``: runs that are merged into one.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.runs = spark, fanout, []
+    With a ``folder`` the index outlives the session: runs lie there, and after every change the list of runs is stored anew, the latest of which
+    a later session opens.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, folder: str | None = None):
+        self.spark, self.fanout, self.folder, self.runs, self.version = spark, fanout, folder, [], 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if folder and path_exists(spark, f"{folder}/lists"):
+            listed = spark.read.schema("path string, buckets int, version int").parquet(f"{folder}/lists")
+            self.version = listed.agg(F.max("version")).first()[0]
+            for r in listed.filter((F.col("version") == self.version) & F.col("path").isNotNull()).collect():  # a row for each run
+                name = f"run_{uuid.uuid4().hex}"
+                spark.sql(f"CREATE TABLE {name} (h BIGINT, ctx BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {r['buckets']} BUCKETS LOCATION '{r['path']}'")
+                self.runs.append((name, r["path"]))
+                self.buckets = r["buckets"]
+
+    def listed(self) -> None:
+        if self.folder:
+            self.version += 1
+            rows = [(path, self.buckets, self.version) for _, path in self.runs] or [(None, self.buckets, self.version)]
+            self.spark.createDataFrame(rows, "path string, buckets int, version int").coalesce(1).write.mode("append").parquet(f"{self.folder}/lists")
 
     def add(self, rows: DataFrame) -> None:
-        name, path = f"run_{uuid.uuid4().hex}", shared_dir(self.spark)
+        name = f"run_{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}" if self.folder else shared_dir(self.spark)
         dealt = rows.select("h", "ctx", "doc_id").repartition(self.buckets, "h")
         dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).format("parquet").saveAsTable(name)
         self.runs.append((name, path))
         if len(self.runs) > self.fanout:
             self.compact()
+        else:
+            self.listed()
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones go only when the new one is written."""
