@@ -217,3 +217,31 @@ def test_a_cycle_and_its_requests(spark):
     assert requests == {"pull": 1} and got(copy.scopes.select("cursor")) == [("4",)]
     with pytest.raises(PermissionError):
         server.rebuild("u", "c", "b", clients, log, edges, rows)
+
+
+def test_delimited_rows_and_required_columns(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tidescope.sources import tbl
+
+    (tmp_path / "r.tbl").write_text("1|x y|\n2||\n")
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("name", T.StringType())])
+    assert got(tbl(spark, str(tmp_path / "r.tbl"), schema)) == [(1, "x y"), (2, None)]
+    strict = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("a", T.StringType(), False), T.StructField("b", T.StringType(), False, {"CURRENT_DEFAULT": "'x'"}), T.StructField("c", T.StringType()), T.StructField("d", T.StringType(), False)])
+    assert writes.required_columns(strict, ["id", "a", "b", "c"], ["id"]) == ["a"]
+    with pytest.raises(ValueError):
+        rules.parse_cursor("v2." + "e30." + "AAAA", "a", "g", b"s")
+
+
+def test_scope_deltas_and_invalidation(spark):
+    held = spark.createDataFrame([("a", "c1", 1, 2), ("b", "c2", 2, 0)], "scope_id string, cursor string, checksum long, generation int")
+    rows = spark.createDataFrame([("t", "1", "{}", 1), ("t", "2", "{}", 1)], "table_name string, record_id string, row_json string, version long")
+    provenance = spark.createDataFrame([("a", "t", "1", 1, 2), ("b", "t", "2", 2, 0), ("b", "t", "1", 1, 0)], "scope_id string, table_name string, record_id string, checksum long, generation int")
+    scopes_, rows_, held_ = client.apply_scope_delta(held, rows, provenance, ["b", "n"], ["a"])
+    assert got(scopes_) == [("b", "c2", 2, 0), ("n", None, None, 0)] and rows_.count() == 2 and held_.count() == 2
+    _, rows_, _ = client.apply_scope_delta(held, rows, provenance, [], ["b"])
+    assert [r["record_id"] for r in rows_.collect()] == ["1"]
+    none, nobody = client.invalidate(held, provenance)
+    assert got(none) == [("a", None, None, 0), ("b", None, None, 0)] and nobody.isEmpty()
+    with pytest.raises(ValueError, match="checksum"):
+        client.finish_rebuild(rows, provenance, held, "a", "c9", 99)
