@@ -126,19 +126,39 @@ def scope_member_counts(spark, sf):
     return all_edges(spark, sf).groupBy("scope_id", "table_name").agg(F.count("*").alias("members"))
 
 
-@query()
+#: Tables of the summary: key, scope, and the columns by kind (n: number, s: text, t: time), from which SQL builds the canonical text.
+SUMMED = {
+    "customer": ("c_custkey", SCOPE, {"c_custkey": "n", "c_name": "s", "c_nationkey": "n", "c_acctbal": "n", "c_mktsegment": "s"}),
+    "orders": ("o_orderkey", SCOPE, {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "s", "o_totalprice": "n", "o_orderdate": "t", "o_orderpriority": "s"}),
+    "region": ("r_regionkey", "'global'", {"r_regionkey": "n", "r_name": "s"}),
+    "nation": ("n_nationkey", "'global'", {"n_nationkey": "n", "n_name": "s", "n_regionkey": "n"}),
+    "supplier": ("s_suppkey", "'global'", {"s_suppkey": "n", "s_name": "s", "s_nationkey": "n", "s_acctbal": "n"}),
+    "part": ("p_partkey", "'global'", {"p_partkey": "n", "p_name": "s", "p_brand": "s", "p_type": "s", "p_size": "n", "p_retailprice": "n"}),
+}
+
+
+def sql_json(columns: dict[str, str]) -> str:
+    shown = {"n": "CAST({} AS VARCHAR)", "s": "'\"' || {} || '\"'", "t": "'\"' || strftime({}, '%Y-%m-%dT%H:%M:%S.000') || '\"'"}
+    return "'{' || " + " || ',' || ".join(f"'\"{c}\":' || coalesce({shown[k].format(c)}, 'null')" for c, k in sorted(columns.items())) + " || '}'"
+
+
+#: CRC-32 by its table of 256 remainders, byte by byte.
+SQL_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(j, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"""
+SUMMED_SQL = " UNION ALL ".join(f"SELECT {scope} AS scope_id, {sql_json(columns)} AS j FROM {name}{' JOIN customer ON o_custkey = c_custkey' * (name == 'orders')}" for name, (_, scope, columns) in SUMMED.items())
+
+
+@query(f"""WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+    x AS ({SUMMED_SQL}), y AS (SELECT scope_id, {SQL_CRC} AS c FROM x, tab)
+    SELECT scope_id, CAST(bit_xor(CASE WHEN c >= 2147483648 THEN c - 4294967296 ELSE c END) AS INTEGER) AS checksum, count(*) AS members FROM y GROUP BY scope_id""")
 def scope_summary(spark, sf):
-    """Members and row checksums (CRC-32 of canonical JSON) of every scope; SQL engines differ in JSON text, so there is no SQL."""
+    """Members and row checksums (CRC-32 of canonical JSON) of every scope."""
     out = None
-    for name, pk, members in (("customer", "c_custkey", customer_members), ("orders", "o_orderkey", order_members)):
+    for name, (pk, _, _) in SUMMED.items():
         t = read(spark, sf, name)
         sums = t.select(F.col(pk).cast("string").alias("record_id"), signed_crc32(row_json(t.columns)).alias("checksum"))
+        members = {"customer": customer_members, "orders": order_members}.get(name, lambda spark, sf, t=t, pk=pk: scopes.constant(t, F.col(pk), "global"))
         e = scopes.edges(name, members(spark, sf), sums)
         out = e if out is None else out.union(e)
-    for name, pk in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("part", "p_partkey")):
-        t = read(spark, sf, name)
-        sums = t.select(F.col(pk).cast("string").alias("record_id"), signed_crc32(row_json(t.columns)).alias("checksum"))
-        out = out.union(scopes.edges(name, scopes.constant(t, F.col(pk), "global"), sums))
     return scopes.checksums(out)
 
 
