@@ -7,8 +7,8 @@ it shares with the word before and continues from there.
 
 For a unigram model the forward state of a prefix is its best sum of scores, with the last piece of that path. The public model here is
 a BPE model, whose segmentation is not the path of the best sum, so its state is the last piece of the prefix's segmentation: the one
-piece that ends there and that its predecessor doesn't merge with otherwise. Either gives the ids of the library, piece
-for piece (tests compare them); characters without a piece fall back to their bytes. Models of other types are refused. What a
+piece that ends there and that its predecessor doesn't merge with otherwise. That gives the ids of the library, piece
+for piece (tests compare them), and with a unigram model a path of the same sum, which is the library's unless several have it; characters without a piece fall back to their bytes. Models of other types are refused. What a
 worker remembers of earlier words is bounded by number, and encoding and decoding are stages of their own, so that no executor
 holds both codecs' workers at once.
 
