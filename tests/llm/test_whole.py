@@ -1,6 +1,8 @@
 """Operators whose results a plain program or SQL can give in full, over the test tables and odd rows."""
 
 import hashlib
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -135,6 +137,26 @@ def test_keep_leaves_one_row_of_each_text_with_its_columns(odd, none):
     assert exact_dedup.dedup(none).count() == 0 and exact_dedup.keep(none).count() == 0
 
 
+def test_texts_without_a_copy_are_not_moved(spark, tmp_path):
+    draw, path, limit = random.Random(3), str(tmp_path / "documents"), "spark.sql.autoBroadcastJoinThreshold"
+    rows = [(i, f"{draw.getrandbits(8000):x}") for i in range(4000)]
+    rows += [(4000 + i, rows[i][1].upper()) for i in range(20)] + [(7, rows[7][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    moved = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before, start = spark.conf.get(limit), moved()
+    spark.conf.set(limit, "-1")  # as over tables that are too large for it
+    try:
+        docs = spark.read.parquet(path)
+        found = exact_dedup.dedup(docs).select("doc_id", "keep_id", "group_size", "text_sha256").collect()
+        assert sorted(map(tuple, found), key=repr) == plain_groups(rows)
+        kept = exact_dedup.keep(docs).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted(map(tuple, kept)) == sorted(rows[20:4000] + rows[4000:4020])
+    time.sleep(1)  # the figures follow the tasks
+    assert 0 < moved() - start < 4_000_000  # the texts alone take 4 MB when compressed and were moved three times
+
+
 def test_state_goes_on_with_new_files_alone(spark, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
     first = exact_dedup.digests(spark.createDataFrame([(5, "a"), (2, "b")], "doc_id long, text string"))
