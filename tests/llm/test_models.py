@@ -6,12 +6,13 @@ import hashlib
 import re
 from itertools import pairwise
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 import corpus_pipeline
 from tests.compare import DATA
-from tidescope.llm import decontaminate, license_scan, pii, queries, sentencepiece_codec, toxicity, warc
+from tidescope.llm import common, decontaminate, license_scan, pii, queries, sentencepiece_codec, toxicity, warc
 from tidescope.llm.common import TOKENIZER, components, cut, documents
 
 SF, LARGER, LARGEST = str(DATA / "sf0.001"), str(DATA / "sf0.01"), str(DATA / "sf0.1")
@@ -459,3 +460,30 @@ def test_a_unigram_model_is_encoded_as_the_library_does(spark, tmp_path):
     open(path, "wb").write(made.SerializeToString())
     with pytest.raises(ValueError):
         sentencepiece_codec.Codec(path)
+
+
+def test_a_worker_drops_what_another_operator_left(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string")
+
+    def left(batches):
+        batches = list(batches)
+        before = len(sentencepiece_codec._codecs)
+        list(common.slices(iter(batches)))
+        yield pa.RecordBatch.from_pydict({"before": [before], "after": [len(sentencepiece_codec._codecs)]})
+
+    assert sentencepiece_codec.encode(docs, TOKENIZER).count() == 40
+    found = docs.repartition(8).mapInArrow(left, "before long, after long").collect()
+    assert any(r["before"] for r in found) and not any(r["after"] for r in found)
+
+
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    seen, rows = [], spark.conf.get(corpus_pipeline.BATCH)
+
+    def stage(spark, docs, _):
+        most = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        seen.append(max(r["n"] for r in most.collect()))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage)])
+    assert corpus_pipeline.run(spark, str(DATA / "sf0.01")).count() == 1000
+    assert seen == [int(corpus_pipeline.BATCH_ROWS)] and spark.conf.get(corpus_pipeline.BATCH) == rows

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidescope.llm.common import slices
+from tidescope.llm.common import give_back, remembered, slices
 
 MARK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -193,11 +193,11 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = remembered.setdefault("sentencepiece", {})
 
 
 def codec(path: str) -> Codec:
-    """The worker's codec for the model at ``path``, read once."""
+    """The worker's codec for the model at ``path``, read once until a task of another operator comes."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -208,7 +208,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=1 << 20, owner="sentencepiece"):
             found = own.encode(batch.column("text").to_pylist())
             lengths = np.array([len(b or b"") // 4 for b in found], np.int64)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -216,6 +216,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([b is None for b in found] + [False])), values)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
         own.known, own.before = {}, {}  # a worker that waits for its next task, of whatever stage, holds no words
+        give_back("sentencepiece")
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -233,6 +234,6 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 texts = own.decode(np.asarray(lists.flatten()).astype(np.int64), np.cumsum(lengths))
                 texts = pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, texts], names=["doc_id", "ids", "text"])
-        pa.default_memory_pool().release_unused()
+        give_back("sentencepiece")
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
