@@ -487,3 +487,17 @@ def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage)])
     assert corpus_pipeline.run(spark, str(DATA / "sf0.01")).count() == 1000
     assert seen == [int(corpus_pipeline.BATCH_ROWS)] and spark.conf.get(corpus_pipeline.BATCH) == rows
+
+
+def test_stages_called_alone_have_small_batches(spark):
+    docs, before = common.documents(spark, str(DATA / "sf0.01")).coalesce(1), spark.conf.get(corpus_pipeline.BATCH)
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        for name in ("toxicity", "exact_dedup", "sentencepiece"):
+            for given, most in (("10000", int(corpus_pipeline.BATCH_ROWS)), ("0", int(corpus_pipeline.BATCH_ROWS)), ("200", 200)):
+                spark.conf.set(corpus_pipeline.BATCH, given)
+                left = stages[name](spark, docs, str(DATA / "sf0.01")).coalesce(1)
+                sizes = left.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+                assert sum(r["n"] for r in sizes) > 800 and max(r["n"] for r in sizes) <= most, (name, given)
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
