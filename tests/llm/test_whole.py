@@ -1,6 +1,7 @@
 """Operators whose results a plain program or SQL can give in full, over the test tables and odd rows."""
 
 import hashlib
+import os
 import random
 import time
 import zlib
@@ -10,6 +11,7 @@ import xxhash
 
 from tests.compare import DATA, expected, rows_of
 from tidescope.llm import exact_dedup, queries, sharding, simhash, substring_dedup
+from tidescope.llm.common import likely
 
 SF = str(DATA / "sf0.001")
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -225,6 +227,37 @@ def test_substrings_of_odd_rows(odd, none):
     assert substring_dedup.deduplicate(none).count() == 0
 
 
+def test_texts_without_repeats_stay_and_shuffle_files_go(spark, tmp_path):
+    draw, path, limit = random.Random(4), str(tmp_path / "documents"), "spark.sql.autoBroadcastJoinThreshold"
+    rows = [(i, " ".join(f"{draw.getrandbits(160):x}" for _ in range(60))) for i in range(2000)]
+    rows += [(2000 + i, f"edge{i} {rows[i][1]} end") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    moved = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for top in folders for _, _, files in os.walk(top) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+    before, start, there = spark.conf.get(limit), moved(), shuffled()
+    spark.conf.set(limit, "-1")  # as over tables that are too large for it
+    try:
+        found = substring_dedup.deduplicate(spark.read.parquet(path))
+        time.sleep(1)  # files go and figures follow shortly after
+        left = shuffled() - there
+        assert taken(found) == plain_substrings(rows)
+    finally:
+        spark.conf.set(limit, before)
+    assert not left
+    assert 0 < moved() - start < 2_500_000  # the texts alone take 2.5 MB when compressed and were moved one and a half times
+
+
+def test_the_likely_filter_loses_no_key(spark):
+    rows = spark.range(-5000, 5000).selectExpr("id AS doc_id", "id AS part", "'x' AS row").union(spark.sql("SELECT CAST(null AS long), 1L, 'y'"))
+    keys = spark.range(-2000, 2000, 4).selectExpr("id AS doc_id").union(spark.sql("SELECT CAST(null AS long)"))
+    found = likely(rows, keys, "doc_id")
+    assert found.columns == rows.columns
+    taken = [r["doc_id"] for r in found.collect()]
+    assert {*range(-2000, 2000, 4)} <= {*taken} and len(taken) < 1010 and None not in taken
+    assert likely(rows, keys.limit(0), "doc_id").count() == 0
+
+
 # --- SimHash ----------------------------------------------------------------------------------------------------------------
 
 

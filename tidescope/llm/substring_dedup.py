@@ -10,8 +10,9 @@ through these steps:
 
 1. anchors of the batch meet each other and the runs;
 2. an anchor whose whole context has a smaller owner is verified by the context's digest: all its windows are repeats;
-3. where one hash has several contexts (edges of passages, edits), the documents that own them are read again, new and old, and
-   their windows around the anchor are compared word for word by a 128-bit digest of the bytes;
+3. where one hash has several contexts (edges of passages, edits), the documents that own them are read again, new and old (texts
+   that aren't needed again don't move), and
+   their windows that select the anchor are compared word for word by a 128-bit digest of the bytes;
 4. words under repeated windows go; contexts not known before become a new run, and runs are merged when they are many.
 
 Counts are pre-aggregated by key, so a passage in a third of all documents is one context with one owner, and a context that more than a
@@ -38,8 +39,10 @@ from tidescope.llm.common import (
     cut,
     drop_table,
     join_hot,
+    likely,
     path_exists,
     shared_dir,
+    shuffles_go,
     slices,
 )
 
@@ -72,11 +75,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that the windows of ``words`` select; the leftmost of equal hashes."""
+def selected(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the gram that each window of ``words`` selects, the leftmost of equal hashes; and the hashes of all grams."""
     n = len(words)
     if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     up, down = powers(n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * up[:n], dtype=np.uint64)])
     grams = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
@@ -86,8 +89,14 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     seen = np.lib.stride_tricks.sliding_window_view(grams, REACH + 1)
     places = []
     for at in range(0, len(seen), 1 << 15):
-        places.append(np.unique(seen[at : at + (1 << 15)].argmin(1) + np.arange(at, min(len(seen), at + (1 << 15)))))
-    places = np.unique(np.concatenate(places))
+        places.append(seen[at : at + (1 << 15)].argmin(1) + np.arange(at, min(len(seen), at + (1 << 15))))
+    return np.concatenate(places), grams
+
+
+def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that the windows of ``words`` select."""
+    places, grams = selected(words)
+    places = np.unique(places)
     return places, grams[places].view(np.int64)
 
 
@@ -196,7 +205,7 @@ class Index:
 
 
 def windows(store: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, th, start): the windows around the wanted anchors (h, ctx) of each stored document."""
+    """(w1, w2, doc_id, th, start): the windows of each stored document that select a wanted anchor (h, ctx)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -207,11 +216,10 @@ def windows(store: DataFrame) -> DataFrame:
                     continue
                 words = split(text)
                 held = {h for h, _ in keys}
-                starts = set()
-                for a, h in zip(*(x.tolist() for x in anchors(words)), strict=True):
-                    if h in held and (h, context(words, a)) in keys:
-                        starts.update(range(max(0, a - REACH), min(a, len(words) - WINDOW) + 1))
-                for s in sorted(starts):
+                at, grams = selected(words)
+                places = np.unique(at)
+                found = [a for a, h in zip(places.tolist(), grams[places].view(np.int64).tolist(), strict=True) if h in held and (h, context(words, a)) in keys]
+                for s in np.flatnonzero(np.isin(at, found)).tolist():
                     raw = hashlib.blake2b(b" ".join(words[s : s + WINDOW]), digest_size=16).digest()
                     out["w1"].append(int.from_bytes(raw[:8], "little", signed=True))
                     out["w2"].append(int.from_bytes(raw[8:], "little", signed=True))
@@ -252,6 +260,11 @@ def process(batch: DataFrame, corpus: DataFrame, index: Index) -> DataFrame:
 
     ``corpus``: documents to which the index and the batch point, the batch included. doc_ids of the batch must not lie under those before.
     """
+    with shuffles_go(batch.sparkSession):
+        return take(batch, corpus, index)
+
+
+def take(batch: DataFrame, corpus: DataFrame, index: Index) -> DataFrame:
     spark, base = batch.sparkSession, shared_dir(batch.sparkSession)
     sketch = cut(sketches(batch), f"{base}/sketches")
     each = sketch.filter("doc_id is not null").select("doc_id", "th", F.explode("anchors").alias("a")).select("doc_id", "th", "a.place", "a.h", "a.ctx")
@@ -260,17 +273,18 @@ def process(batch: DataFrame, corpus: DataFrame, index: Index) -> DataFrame:
     met = own.select("h", "ctx", "doc_id", "last", "n").union(past.select("h", "ctx", "doc_id", F.col("doc_id").alias("last"), F.lit(0).cast("long")))
     met = met.groupBy("h", "ctx").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last"), F.sum("n").alias("n"))
     shared = met.filter("owner < last and n > 0").select("h", "ctx", "owner", "n")
-    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, low = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("doc_id")).first()
     several = met.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     covered = join_hot(each, shared, ["h", "ctx"], "n", total).filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("th", "place")).alias("covered"))
     owners = met.join(several, "h", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("h", "ctx")).alias("wanted"))
-    needs = covered.join(owners, "doc_id", "full")
-    store = cut(keyed(corpus).join(needs, "doc_id"), f"{base}/store")
+    needs = cut(covered.join(owners, "doc_id", "full"), f"{base}/needs")
+    store = cut(likely(keyed(corpus), needs, "doc_id").join(needs, "doc_id"), f"{base}/store")
+    mine = F.col("doc_id") >= F.lit(low)  # documents before the batch have their rows
     every = cut(windows(store), f"{base}/windows")
     first = every.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last")
-    repeats = every.join(first, ["w1", "w2"]).filter("owner < doc_id").groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
+    repeats = every.join(first, ["w1", "w2"]).filter("owner < doc_id").filter(mine).groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
     places = F.expr("transform(filter(covered, c -> c.th = th), c -> c.place)")
-    ready = store.withColumn("places", places).join(repeats, ["doc_id", "th"], "left").filter("size(places) > 0 or starts is not null")
+    ready = store.filter(mine).withColumn("places", places).join(repeats, ["doc_id", "th"], "left").filter("size(places) > 0 or starts is not null")
     changed = cleaned(ready).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "n_removed", "kept_sha256", "spans")
     rows = sketch.select("doc_id", "th", "n_words", "sha").join(changed, ["doc_id", "th"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
