@@ -100,10 +100,15 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return places, grams[places].view(np.int64)
 
 
-def context(words: list[bytes], place: int) -> int:
+def laid(words: list[bytes]) -> tuple[bytes, list[int]]:
+    """The words joined by spaces, and where each starts; words i to j - 1 are ``joined[at[i] : at[j] - 1]``."""
+    return b" ".join(words), [0, *np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()]
+
+
+def context(joined: bytes, at: list[int], place: int) -> int:
     """Digest of the words that windows around the anchor at ``place`` can hold, and of where the anchor is in them."""
-    lo = max(0, place - REACH)
-    raw = hashlib.blake2b(b" ".join(words[lo : place + WINDOW]), digest_size=8, salt=(place - lo).to_bytes(2, "little")).digest()
+    lo, hi = max(0, place - REACH), min(len(at) - 1, place + WINDOW)
+    raw = hashlib.blake2b(joined[at[lo] : at[hi] - 1], digest_size=8, salt=(place - lo).to_bytes(2, "little")).digest()
     return int.from_bytes(raw, "little", signed=True)
 
 
@@ -120,12 +125,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = split(text)
                 count.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                at, own = anchors(words)
-                place.append(at)
+                joined, at = laid(words)
+                sha.append(hashlib.sha256(joined).hexdigest())
+                places, own = anchors(words)
+                place.append(places)
                 h.append(own)
-                ctx.extend(context(words, a) for a in at.tolist())
-                ends.append(ends[-1] + len(at))
+                ctx.extend(context(joined, at, a) for a in places.tolist())
+                ends.append(ends[-1] + len(places))
             rows = pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(h)), pa.array(ctx, pa.int64())], names=["place", "h", "ctx"]
             )
@@ -209,25 +215,27 @@ def windows(store: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: dict[str, list] = {n: [] for n in ("w1", "w2", "doc_id", "th", "start")}
+            digests, starts, docs, counts = [], [], [], []
             for d, th, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "wanted")), strict=True):
                 keys = {(w["h"], w["ctx"]) for w in wanted or ()}
                 if not keys:
                     continue
                 words = split(text)
                 held = {h for h, _ in keys}
-                at, grams = selected(words)
-                places = np.unique(at)
-                found = [a for a, h in zip(places.tolist(), grams[places].view(np.int64).tolist(), strict=True) if h in held and (h, context(words, a)) in keys]
-                for s in np.flatnonzero(np.isin(at, found)).tolist():
-                    raw = hashlib.blake2b(b" ".join(words[s : s + WINDOW]), digest_size=16).digest()
-                    out["w1"].append(int.from_bytes(raw[:8], "little", signed=True))
-                    out["w2"].append(int.from_bytes(raw[8:], "little", signed=True))
-                    out["doc_id"].append(d)
-                    out["th"].append(th)
-                    out["start"].append(s)
-            if out["w1"]:
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int32())]))
+                joined, at = laid(words)
+                picked, grams = selected(words)
+                places = np.unique(picked)
+                found = [a for a, h in zip(places.tolist(), grams[places].view(np.int64).tolist(), strict=True) if h in held and (h, context(joined, at, a)) in keys]
+                own = np.flatnonzero(np.isin(picked, found))
+                digests.extend(hashlib.blake2b(joined[at[s] : at[s + WINDOW] - 1], digest_size=16).digest() for s in own.tolist())
+                starts.append(own)
+                docs.append((d, th))
+                counts.append(len(own))
+            if digests:
+                w1, w2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+                d, th = (np.repeat(np.array(x, kind), counts) for x, kind in zip(zip(*docs, strict=True), (np.int64, np.int32), strict=True))
+                columns = [pa.array(np.ascontiguousarray(x)) for x in (w1, w2, d, th, np.concatenate(starts).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "doc_id", "th", "start"])
 
     return store.select("doc_id", "th", "text", "wanted").mapInArrow(run, "w1 long, w2 long, doc_id long, th int, start int")
 
