@@ -1,6 +1,10 @@
 """Recall of decontamination against a brute-force subsequence search over a benchmark of several hundred passages."""
 
 import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 
 from tests.llm.test_models import longest
 from tidescope.llm import decontaminate
@@ -66,3 +70,50 @@ def test_paraphrases_against_a_full_scan(spark):
             want.add((i, i))
     assert len(want) > 40 and len(want & found) >= 0.9 * len(want)
     assert all(a == b for a, b in found)
+
+
+def searched(monkeypatch, spark, docs, bench):
+    """Rows found by the search that Spark is given, run here, and how often it looked for a subsequence, by length."""
+    kept, real, calls = [], type(bench).mapInArrow, Counter()
+    monkeypatch.setattr(type(bench), "mapInArrow", lambda self, f, schema: kept.append(f) or real(self, f, schema))
+    decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    search = decontaminate.common
+    monkeypatch.setattr(decontaminate, "common", lambda where, length, words: calls.update([length]) or search(where, length, words))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "th": [0] * len(docs), "text": [t for _, t in docs]})
+    return [r for out in kept[-1](iter([batch])) for r in out.to_pylist()], calls
+
+
+def test_words_that_stand_often_in_a_window_count_once(spark, monkeypatch):
+    """Texts of a few of a passage's words, again and again, are not searched for the passage: most of its words are missing."""
+    draw = random.Random(5)
+    items = [draw.sample([f"u{i}" for i in range(400)], 30) for _ in range(60)]
+    docs = []
+    for i, item in enumerate(items):
+        text = draw.choices(item[:8], k=800)
+        if i < 10:
+            text[300:330] = item
+        docs.append((i, " ".join(text)))
+    bench = spark.createDataFrame([(i, " ".join(w), "no such answer") for i, w in enumerate(items)], "item_id long, text string, answer string")
+    found, calls = searched(monkeypatch, spark, docs, bench)
+    assert sorted((r["doc_id"], r["item_id"], r["lcs"]) for r in found) == [(i, i, 1.0) for i in range(10)]
+    assert 10 <= calls[30] <= 40
+
+
+def test_a_window_is_searched_once(spark, monkeypatch):
+    """A long text repeats a passage beyond the windows that are taken at a time."""
+    item = [f"w{i}" for i in range(15)]
+    bench = spark.createDataFrame([(1, " ".join(item), "no such answer")], "item_id long, text string, answer string")
+    found, calls = searched(monkeypatch, spark, [(1, " ".join([*item, "and"] * 6000))], bench)
+    assert [(r["item_id"], r["lcs"]) for r in found] == [(1, 1.0)]
+    assert calls[15] == 6000
+
+
+def test_sums_of_steps_and_windows():
+    draw = np.random.default_rng(4)
+    table, ids = draw.integers(0, 16, (50, 7)).astype(np.uint8), draw.integers(0, 50, 400)
+    edge = np.unique(np.r_[0, draw.integers(1, 400, 120)])
+    sums = decontaminate.by_step(table, ids, edge)
+    assert (sums == np.array([table[part].sum(0, dtype=np.uint8) for part in np.split(ids, edge[1:])])).all()
+    steps = draw.random((24, 3))
+    for half in (1, 2, 4, 6):
+        assert np.allclose(decontaminate.halves(steps, half), steps.reshape(-1, half, 3).sum(1))

@@ -5,7 +5,8 @@ all documents; words in more than a tenth of them are left out of the space (unl
 passages that sums ``A^T (A W)`` by task. Every document is then slid over in windows of two to four times a
 passage's length, folded into the space, and compared by cosine with the passages of that length. The space has fewer axes than a
 block has passages, so a copy can lie far from its passage; every window therefore also has its words counted that a passage holds, and one that
-reaches the count without which no match is possible is checked as well, however far it is. Windows that come near are
+reaches the count without which no match is possible is checked as well, however far it is. Of both, windows that lack too many of the passage's
+different words go, since no match is possible without them; the others are
 checked by the longest common subsequence of words: a passage counts as leaked with 80 % of its words in
 order, or as a paraphrase with 60 % of its words and 80 % of the item's answer (the ``answer`` column where the benchmark has
 one, else the item's last sentence) in order in the window or within some window of twice the answer's length elsewhere in the document. Items
@@ -37,6 +38,8 @@ from tidescope.llm.common import slices, text_key
 #: ASCII characters that are no letter or digit part words.
 PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 STEP, LEAST = 16, 8
+#: Steps of the widest window; each text takes a multiple of so many.
+MOST = 12
 #: So many passages have their words counted at a time.
 WIDE = 256
 FOUND = "doc_id long, th long, item_id long, cosine double, lcs double, answer_lcs double"
@@ -150,6 +153,33 @@ def holders(lists: list[list[int]], at: np.ndarray, terms: int) -> np.ndarray:
     return out
 
 
+def by_step(table: np.ndarray, ids: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """For each of ``edge`` the sum of the rows of ``table`` that ``ids`` names from there to the next edge.
+
+    A step has few words: the first words of all steps are taken together, then the second ones of those that have two, and so on.
+    """
+    n = np.diff(edge, append=len(ids))
+    order = np.argsort(-n, kind="stable")
+    first, n = edge[order], n[order]
+    sums = table[ids[first]]
+    for k in range(1, n[0]):
+        more = np.searchsorted(-n, -k)  # so many have a word after their k-th
+        sums[:more] += table[ids[first[:more] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def halves(steps: np.ndarray, half: int) -> np.ndarray:
+    """Sums of every ``half`` rows of ``steps``."""
+    if half == 1:
+        return steps
+    out = steps[::half].copy()
+    for k in range(1, half):
+        out += steps[k::half]
+    return out
+
+
 def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], rank: int = 64, near: float = 0.7, stop_share: float = 0.1, leaked: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
     """Rows of ``FOUND`` for every document and every item of ``block`` that it leaks; the best passage of each pair."""
     spark = docs.sparkSession
@@ -188,15 +218,18 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
     folded /= np.linalg.norm(folded, axis=1, keepdims=True) + 1e-9
     token = np.zeros((len(used), axes.shape[1]), np.float32)
     token[[row[i] for i in sorted(kept)]] = axes * idf[:, None]
-    held = spark.sparkContext.broadcast((looked, token, folded, block, lists, np.array(needs)))
+    held = spark.sparkContext.broadcast((looked, token, folded, block, lists, np.array(needs, np.uint8)))  # a passage has about a hundred words at most
     copies = exact(short, anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, token, folded, block, lists, needs = held.value
         lengths = np.array([len(p) for _, p, _ in block])
         places = [(positions(p), len(p), positions(a), len(a)) for _, p, a in block]
+        # the distinct words of each passage, and how many of them no match can do without
+        distinct = [frozenset(p) for _, p, _ in block]
+        wanted = [math.ceil(paraphrase * len(p) - 1e-9) - (len(p) - len(own)) for (_, p, _), own in zip(block, distinct, strict=True)]
         # windows of so many steps, for passages of at most half their length
-        sizes = [(k, np.flatnonzero((lengths > lo) & (lengths <= hi))) for k, lo, hi in ((2, 0, STEP), (4, STEP, 2 * STEP), (8, 2 * STEP, 4 * STEP), (12, 4 * STEP, 1 << 30))]
+        sizes = [(k, np.flatnonzero((lengths > lo) & (lengths <= hi))) for k, lo, hi in ((2, 0, STEP), (4, STEP, 2 * STEP), (8, 2 * STEP, 4 * STEP), (MOST, 4 * STEP, 1 << 30))]
         sizes = [(k, at, folded[at].T.copy(), [holders(lists, at[c : c + WIDE], len(vocabulary)) for c in range(0, len(at), WIDE)]) for k, at in sizes if len(at)]
         get = vocabulary.get
         for batch in slices(batches, limit=1 << 20):
@@ -204,7 +237,8 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
             split = [words_of(t) for t in batch.column("text").to_pylist()]
             n = np.fromiter(map(len, split), np.int64, len(split))
             steps = -(-n // STEP)
-            first = np.cumsum(steps) - steps  # a text's first step of STEP words among all steps of the batch
+            room = -(-steps // MOST) * MOST
+            first = np.cumsum(room) - room  # a text's first step of STEP words among all steps of the batch
             ids = np.fromiter(map(get, chain.from_iterable(split), repeat(-1)), np.int64, n.sum())
             known = np.flatnonzero(ids >= 0)
             if not len(known):
@@ -212,36 +246,41 @@ def search(docs: DataFrame, block: list[tuple[int, list[bytes], list[bytes]]], r
             doc = np.repeat(np.arange(len(split)), n)[known]
             step = first[doc] + (known - (np.cumsum(n) - n)[doc]) // STEP
             edge = np.flatnonzero(np.diff(step, prepend=-1))
-            sums = np.zeros((steps.sum() + 12, token.shape[1]), np.float32)  # 12 empty steps, so that every window is whole
-            sums[step[edge]] = np.add.reduceat(token[ids[known]], edge, axis=0)
-            owner = np.repeat(np.arange(len(split)), steps)
-            last = (first + steps)[owner]
+            filled, ids = step[edge], ids[known]
+            owner = np.repeat(np.arange(len(split)), room)
+            after = np.arange(len(owner)) - first[owner]  # a step's number in its text
+            sums = np.zeros((len(owner) + MOST, token.shape[1]), np.float32)  # the last steps are empty
+            sums[filled] = by_step(token, ids, edge)
             best: dict[tuple[int, int], tuple] = {}
             for size, at, items, tables in sizes:
-                # how many words of each step a passage holds: at most STEP, and at most 12 * STEP in a window
+                # how many words of each step a passage holds: at most STEP, and at most MOST * STEP in a window
                 held_words = np.zeros((len(sums), len(at)), np.uint8)
                 for c, holds in enumerate(tables):
-                    held_words[step[edge], c * WIDE : (c + 1) * WIDE] = np.add.reduceat(holds[ids[known]], edge, axis=0, dtype=np.uint8)
+                    held_words[filled, c * WIDE : (c + 1) * WIDE] = by_step(holds, ids, edge)
+                half = size // 2
+                half_sums, held_words, least = halves(sums, half), halves(held_words, half), needs[at]
                 # windows start every half window; one that runs over a text's end is cut there
-                begin = np.flatnonzero((np.arange(len(owner)) - first[owner]) % (size // 2) == 0)
+                begin = np.flatnonzero((after < steps[owner])[::half])
+                follow = np.where((after + half < room[owner])[::half][begin], begin + 1, len(owner) // half)
                 for c in range(0, len(begin), 2048):
-                    s = begin[c : c + 4096]
-                    v = np.zeros((len(s), token.shape[1]), np.float32)
-                    count = np.zeros((len(s), len(at)), np.uint8)
-                    for k in range(size):
-                        inside = (s + k < last[s])[:, None]
-                        v += np.where(inside, sums[s + k], 0)
-                        count += held_words[s + k] * inside
+                    s, t = begin[c : c + 2048], follow[c : c + 2048]
+                    v = half_sums[s] + half_sums[t]
                     v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
                     cosine = v @ items
-                    near_at, near_item = np.nonzero((cosine >= near) | (count >= needs[at]))
+                    near_at, near_item = np.nonzero((cosine >= near) | (held_words[s] + held_words[t] >= least))
+                    window = -1
                     for r, k in zip(near_at.tolist(), near_item.tolist(), strict=True):
-                        d, p = int(owner[s[r]]), int(at[k])
-                        where, length, told_where, told_length = places[p]
-                        from_word = int(s[r] - first[d]) * STEP
-                        region = split[d][from_word : from_word + size * STEP]
-                        if sum(map(where.__contains__, region)) < paraphrase * length:
+                        if r != window:
+                            window, start = r, int(s[r]) * half
+                            d = int(owner[start])
+                            from_word = int(after[start]) * STEP
+                            region = split[d][from_word : from_word + size * STEP]
+                            present = {*region}
+                        p = int(at[k])
+                        # a frequent word may stand in a window many times, but a match takes it no more often than the passage has it
+                        if len(distinct[p] & present) < wanted[p]:
                             continue
+                        where, length, told_where, told_length = places[p]
                         share = common(where, length, region) / length
                         if share < paraphrase:
                             continue
